@@ -39,7 +39,7 @@ def chunk(bpe: Bpe, text: str, limit: int, least: int, overlap: int) -> list[tup
     words: list[str] = []
     sizes: list[int] = []
     for w in bpe.split(text):
-        n = len(bpe.plain(w))
+        n = bpe.length(w)
         if n <= limit:
             words.append(w)
             sizes.append(n)
@@ -47,7 +47,7 @@ def chunk(bpe: Bpe, text: str, limit: int, least: int, overlap: int) -> list[tup
         at = 0
         while at < len(w):
             step = min(limit, len(w) - at)
-            while (n := len(bpe.plain(w[at : at + step]))) > limit and step > 1:
+            while (n := bpe.length(w[at : at + step])) > limit and step > 1:
                 step = max(1, step * limit // n if n > 2 * limit else step - max(1, step // 16))
             words.append(w[at : at + step])
             sizes.append(n)
