@@ -79,10 +79,12 @@ _NO_GIVEN = frozenset("the a an of to for by from with and or in on at is was no
 
 
 _LINK = re.compile("(?:en|er|a|i|o)$")  # linking syllables before a family name's ending, fixed values
-_WORDS = re.compile(r"[^\W\d_]{6,}").findall
+_WORDS = re.compile(r"[^\W\d_]+").findall
+_STREETS = frozenset(f"{_STREET_AFTER}|{_STREET_BEFORE}|{_RUE}|c".split("|"))
+_STREET_ENDS = ("str", "straße", "strasse", "weg", "ring", "platz", "gasse", "allee")
 
 
-_BEFORE_NAMES = frozenset("by with to is for von de a and ask dear behalf mr ms dr".split())
+_BEFORE_NAMES = frozenset("by with to is suis for von de a and ask dear behalf mr ms dr".split())
 
 
 class Lexicon:
@@ -102,14 +104,24 @@ class Lexicon:
         self.tails = frozenset(t for t, c in tails.items() if c > 2)
         self.stems = frozenset(_LINK.sub("", f[: -len(t)]) for f in self.family for t in self.tails if f.endswith(t) and len(f) - len(t) >= 3)
         self._kind: dict[str, int] = {}
+        self._hints: dict[str, int] = {}
 
     def _built(self, low: str) -> bool:
         """Whether a word is a known beginning, a linking syllable and a known ending."""
         return any(low[-k:] in self.tails and _LINK.sub("", low[:-k]) in self.stems for k in (3, 4))
 
-    def any_family(self, text: str) -> bool:
-        kind = self._kind
-        return any((kind[w] if w in kind else self.kind(w)) > 1 for w in _WORDS(text))
+    def hints(self, text: str) -> int:
+        """1 if a word is like a family name, 2 if one is a street word, 4 for a spelled dot, added up."""
+        flags, seen = 0, self._hints
+        for w in _WORDS(text):
+            h = seen.get(w)
+            if h is None:
+                low = w.lower()
+                h = (self.kind(w) > 1) | 2 * (low in _STREETS or low.endswith(_STREET_ENDS)) | 4 * (low == "dot")
+                if len(seen) < 500_000:
+                    seen[w] = h
+            flags |= h
+        return flags
 
     def kind(self, word: str) -> int:
         """3 for a known family name, 2 for a word built like one, 1 for a given name, else 0."""
@@ -192,7 +204,8 @@ _SENTENCE_STARTS = frozenset("the has see a an we our my version nobody somebody
 def analyse(lex: Lexicon, text: str) -> tuple[list[tuple[int, int, str]], list[list[int]], list[tuple[int, int]], list[int]] | None:
     """Tokens, features per token, segments around evidence and the evidence each token belongs to; None without any."""
     spans: list[tuple[int, int, str]] = []
-    if _SIGN(text):
+    hints = lex.hints(text)
+    if hints & 4 or "＠" in text or text.count("@") > text.count("<@") or any(x in text for x in _BRACKETED):
         spans += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
     taken = lambda a, b: any(a < e and s < b for s, e, _ in spans)
     if _DIGITS(text):
@@ -202,7 +215,7 @@ def analyse(lex: Lexicon, text: str) -> tuple[list[tuple[int, int, str]], list[l
         for m in _PHONE.finditer(text):
             if not taken(*m.span()) and 7 <= sum(c.isdigit() for c in m.group()) <= 16:
                 spans.append((*m.span(), "phone"))
-    if _ANY_DIGIT(text) and _STREETISH(text):
+    if hints & 2 and _ANY_DIGIT(text):
         for m in _ADDRESS.finditer(text):
             if taken(*m.span()):
                 continue
@@ -215,7 +228,7 @@ def analyse(lex: Lexicon, text: str) -> tuple[list[tuple[int, int, str]], list[l
             if not namelike and not town_like:
                 continue
             spans.append((m.start(), tail.end() if town_like else (tail.start("town") if town else tail.end()), "address"))
-    family = lex.any_family(text)
+    family = hints & 1
     if not spans and not family:
         return None
     toks = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
@@ -300,8 +313,7 @@ def analyse(lex: Lexicon, text: str) -> tuple[list[tuple[int, int, str]], list[l
     return toks, feats, segments, owner
 
 
-_SIGN = re.compile(r"[^<\s]\s?[@＠]|[(\[{]\s?at\s?[)\]}]|\sat\s\S+\sdot\s", re.I).search
-_STREETISH = re.compile(rf"\b(?:{_STREET_AFTER}|{_STREET_BEFORE}|{_RUE}|c/)(?!\w)|(?:str\.|aße|asse|weg|ring|platz|gasse|allee)\s?\d", re.I).search
+_BRACKETED = ("at)", "at]", "at}", "at )", "at ]", "at }", "AT)", "AT]", "AT}", "AT )", "AT ]", "AT }", "At)", "At]", "At}")
 _DIGITS = re.compile(r"\d[\d .()/  +-]{4,}[\dA-Za-z]").search
 _ANY_DIGIT = re.compile(r"\d").search
 
@@ -374,7 +386,7 @@ def find_items(lex: Lexicon, model: Model, texts: list[str]) -> list[list[tuple[
     first, length, links, docs = [], [], [], []
     for d, raw in enumerate(texts):
         text, back = raw, None
-        if _INVISIBLE.search(raw):
+        if not raw.isascii() and _INVISIBLE.search(raw):
             back = [i for i, c in enumerate(raw) if not _INVISIBLE.match(c)]
             text = "".join(raw[i] for i in back)
         found = analyse(lex, text)
@@ -420,7 +432,6 @@ def find_items(lex: Lexicon, model: Model, texts: list[str]) -> list[list[tuple[
 
 def _item(text: str, toks: list[tuple[int, int, str]], run: list[int], kind: str) -> tuple[int, int] | None:
     """Extent of a run of tokens without signs before it; None if it lacks what its type must have."""
-    run = [i for i in run if True]
     while run and (not toks[run[0]][2][0].isalnum() or (kind == "name" and toks[run[0]][2].lower() in _TITLES)):
         run = run[1:]
     if not run:

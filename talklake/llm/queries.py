@@ -12,17 +12,36 @@ from .bpe import encode_texts, measure_texts
 from .chunking import split_texts
 from .neardup import document_pairs, grouped, near_duplicates
 from .packing import pack
+from .pii import items, redact
 from .talks import STATED, talks
 
 #: Similarity and different words of p3, as TESTDATA.md states them.
 SIMILAR, LEAST_WORDS = 0.7, 20
 CAPACITY = 2048
+#: Bound of the list of known names, which is a fixed table.
+KNOWN_NAMES = 50_000
 
 
 def _contents(spark: SparkSession, sf: str) -> DataFrame:
     return current_rows(table(spark, sf, "messages"), {"content": none_if_empty("content")})
 
 
+def _pii(spark: SparkSession, sf: str, use) -> DataFrame:
+    texts = current_rows(table(spark, sf, "messages"), {"content": none_if_empty("content"), "normalized_content": none_if_empty("normalized_content")})
+    known = table(spark, sf, "known_names").orderBy("name_id").select("name", "part_of_name").limit(KNOWN_NAMES + 1).collect()
+    if len(known) > KNOWN_NAMES:
+        raise ValueError("the list of known names goes with the code and must stay small")
+    return use(texts, "id", ["content", "normalized_content"], [(r[0], r[1]) for r in known if r[0]])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _pii(spark, sf, items).withColumnRenamed("id", "message_id")
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return _pii(spark, sf, redact).withColumnRenamed("id", "message_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     # texts that can't have twenty words aren't moved
     long = current_rows(table(spark, sf, "messages"), {"content": F.when(F.length("content") >= 2 * LEAST_WORDS - 1, F.col("content"))}).where("content is not null")
@@ -76,7 +95,7 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_found, p6_talks, p8_ids, p9_containers, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p6_found, p6_talks, p8_ids, p9_containers, p10_pieces)}
 
 _PRESENT = r"""
 m as (select * from (select trim(id) as id, trim(channel_id) as channel_id, nullif(trim(author_id), '') as author_id, epoch_us(try_cast(created_at as timestamptz)) as us,
