@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data_queries
+from . import data_queries, reports
 
-QUERIES = {**data_queries.QUERIES}
-SQL = {**data_queries.SQL}
+QUERIES = {**reports.QUERIES, **data_queries.QUERIES}
+SQL = {**reports.SQL, **data_queries.SQL}

@@ -71,7 +71,7 @@ def main(folder: str, names: list[str]) -> int:
                 print("  columns", cols, cols2, "\n  only here", sorted(a - b)[:3], "\n  only SQL", sorted(b - a)[:3])
         except Exception as x:  # noqa: BLE001
             bad += 1
-            print(f"{n}: FAILED {str(x)[:1500]}")
+            print(f"{n}: FAILED {str(x)[:400]}")
     return bad
 
 
