@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data_queries, reports
+from . import data_queries, dataflow, reports, search
 
-QUERIES = {**reports.QUERIES, **data_queries.QUERIES}
-SQL = {**reports.SQL, **data_queries.SQL}
+QUERIES = {**reports.QUERIES, **search.QUERIES, **dataflow.QUERIES, **data_queries.QUERIES}
+SQL = {**reports.SQL, **search.SQL, **dataflow.SQL, **data_queries.SQL}
