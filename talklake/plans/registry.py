@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data_queries, dataflow, reports, search
+from . import data_queries, dataflow, publication, reports, search
 
-QUERIES = {**reports.QUERIES, **search.QUERIES, **dataflow.QUERIES, **data_queries.QUERIES}
-SQL = {**reports.SQL, **search.SQL, **dataflow.SQL, **data_queries.SQL}
+QUERIES = {**publication.QUERIES, **reports.QUERIES, **search.QUERIES, **dataflow.QUERIES, **data_queries.QUERIES}
+SQL = {**publication.SQL, **reports.SQL, **search.SQL, **dataflow.SQL, **data_queries.SQL}
