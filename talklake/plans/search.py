@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.topk import best_texts, nearest
 from ..sources.archive import Archive, with_sql
 from ..sources.tables import table
 
@@ -92,14 +93,59 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return fused.orderBy(F.desc("score"), F.desc("lexical"), F.desc("id")).limit(20)
 
 
-QUERIES = {f.__name__: f for f in (lexical_search, bm25_documents, semantic_search, hybrid_search)}
+#: The searches below take every row whose id is divisible by this as a query.
+EVERY = 100
+
+
+def _nearest(spark: SparkSession, sf: str, most: int) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(e, e.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), most)
+
+
+def _best_texts(spark: SparkSession, sf: str, queries: DataFrame, most: int, rising: bool) -> DataFrame:
+    """BM25 with the texts of the documents of these ids (query_id) as queries."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokens("text").alias("words"))
+    asked = d.withColumnRenamed("id", "query_id").join(queries.select("query_id"), "query_id", "left_semi")
+    return best_texts(d, asked, most, rising, BM25_K1, BM25_B)
+
+
+def bm25_documents_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Best 50 documents for the text of each document whose id is divisible by EVERY."""
+    asked = table(spark, sf, "documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"))
+    return _best_texts(spark, sf, asked, 50, True).select("query_id", F.col("id").alias("doc_id"), "score")
+
+
+def semantic_search_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Best 20 vectors for each vector whose id is divisible by EVERY."""
+    return _nearest(spark, sf, 20).select("query_id", F.col("id").alias("vec_id"), "score")
+
+
+def hybrid_search_all(spark: SparkSession, sf: str) -> DataFrame:
+    """hybrid_search for each vector whose id is divisible by EVERY, with the text of the document of that id; without one, by the vector alone."""
+    asked = table(spark, sf, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"))
+    lex = _best_texts(spark, sf, asked, 200, False).withColumn("lexical", F.lit(1))
+    both = lex.unionByName(_nearest(spark, sf, 200).withColumn("lexical", F.lit(0)))
+    fused = both.groupBy("query_id", "id").agg(F.round(F.sum(F.lit(1.0) / (RRF_K + F.col("place"))), 6).alias("score"), F.max("lexical").alias("lexical"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("lexical"), F.desc("id"))
+    return fused.withColumn("_r", F.row_number().over(w)).where("_r <= 20").drop("_r")
+
+
+QUERIES = {f.__name__: f for f in (lexical_search, bm25_documents, semantic_search, hybrid_search, bm25_documents_all, semantic_search_all, hybrid_search_all)}
 
 _D_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _D_BM25 = rf"""w as (select doc_id, {_D_TOKENS} as w from documents), x as (select doc_id, len(w) as n, len(list_filter(w, lambda t: t = '{WORDS[0]}')) as a, len(list_filter(w, lambda t: t = '{WORDS[1]}')) as b from w),
 s as (select count(*) as docs, avg(n) as av, count(*) filter (a > 0) as da, count(*) filter (b > 0) as db from x),
 bm as (select doc_id, round(ln(1 + (docs - da + 0.5::double) / (da + 0.5::double)) * a * 2.2::double / (a + 1.2::double * (0.25::double + 0.75::double * n / av)) + ln(1 + (docs - db + 0.5::double) / (db + 0.5::double)) * b * 2.2::double / (b + 1.2::double * (0.25::double + 0.75::double * n / av)), 6) as score from x, s where a + b > 0)"""
 _D_SEM = "sem as (select vec_id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as score from embeddings)"
+_D_BM25_ALL = rf"""w as (select doc_id, {_D_TOKENS} as w from documents), s as (select count(*) as docs, avg(len(w)) as av from w),
+t as (select doc_id, any_value(len(w)) as n, word, count(*) as tf from (select doc_id, w, unnest(w) as word from w) group by doc_id, word),
+f as (select word, count(*) as df from t group by word),
+bm as (select q.doc_id as query_id, t.doc_id, round(sum(ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * t.tf * 2.2::double / (t.tf + 1.2::double * (0.25::double + 0.75::double * t.n / av))), 6) as score from t join f using (word) join t q using (word), s where q.doc_id % {EVERY} = 0 group by 1, 2)"""
+_D_SEM_ALL = f"sem as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % {EVERY} = 0)"
 SQL = {
+    "bm25_documents_all": f"with {_D_BM25_ALL} select * from bm qualify row_number() over (partition by query_id order by score desc, doc_id) <= 50",
+    "semantic_search_all": f"with {_D_SEM_ALL} select * from sem qualify row_number() over (partition by query_id order by score desc, vec_id desc) <= 20",
+    "hybrid_search_all": f"with {_D_BM25_ALL}, {_D_SEM_ALL}, l as (select query_id, doc_id as id, row_number() over (partition by query_id order by score desc, doc_id desc) as r, 1 as lexical from bm where query_id in (select vec_id from embeddings) qualify r <= 200), v as (select query_id, vec_id as id, row_number() over (partition by query_id order by score desc, vec_id desc) as r, 0 as lexical from sem qualify r <= 200), u as (select query_id, id, round(sum(1.0::double / (60 + r)), 6) as score, max(lexical) as lexical from (select * from l union all select * from v) group by query_id, id) select * from u qualify row_number() over (partition by query_id order by score desc, lexical desc, id desc) <= 20",
     "lexical_search": with_sql("m", r"select id, channel_id, content from m where not deleted and regexp_matches(lower(coalesce(content, '')), '(^|[^\p{L}\p{N}])feature[^\p{L}\p{N}]+flag([^\p{L}\p{N}]|$)') order by id::bigint desc limit 50"),
     "bm25_documents": f"with {_D_BM25} select * from bm order by score desc, doc_id limit 50",
     "semantic_search": f"with {_D_SEM} select * from sem order by score desc, vec_id desc limit 20",

@@ -106,3 +106,32 @@ def test_merge_and_run_length(spark):
     assert [r[3] for r in rows(merge_newer(s, i, ["k"], "v", "gone"))] == ["old", "new", "new", "new"]
     e = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (1, 5, "a")], "k int, t int, v string")
     assert [r[1] for r in rows(run_length(e, ["k"], "t", "v").select("k", "t"))] == [1, 3, 5]
+
+
+def test_search_takes_every_query_against_all_rows(spark):
+    from talklake.operators.topk import best_texts, nearest
+
+    rnd = random.Random(9)
+    vectors = [(i, [rnd.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(3)]) for i in range(500)] + [(900, None), (901, [1.0]), (None, [1.0, 1.0, 1.0])]
+    good = {i: v for i, v in vectors if i is not None and v and len(v) == 3 and any(v)}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 6)
+    df = spark.createDataFrame(vectors, "id long, vector array<float>").repartition(3)
+    got = rows(nearest(df, df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 7).select("query_id", "place", "id"))
+    want = [(q, p + 1, i) for q in good if q % 10 == 0 for p, i in enumerate(sorted(good, key=lambda i: (-cos(good[q], good[i]), -i))[:7])]
+    assert got == sorted(want) and len({q for q, _, _ in got}) > 40
+
+    texts = spark.createDataFrame([(i, t.split()) for i, t in enumerate(["a b", "a c c", "b", "d e", ""])], "id long, words array<string>")
+    asked = spark.createDataFrame([(7, ["c", "c"]), (8, ["b", "d"]), (9, []), (10, ["z"])], "query_id long, words array<string>")
+    assert [r[:2] for r in rows(best_texts(texts, asked, 5, True, 1.2, 0.75).select("query_id", "id"))] == [(7, 1), (8, 0), (8, 2), (8, 3)]
+
+
+def test_search_queries_cover_all_ids_divisible_by_hundred(spark):
+    import os
+
+    import pytest
+    from talklake.plans import registry
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    for name in ("semantic_search_all", "hybrid_search_all"):
+        assert sorted({r.query_id for r in registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}) == [0, 100, 200, 300, 400]
