@@ -23,19 +23,22 @@ CELLS = 1 << 20
 FREQUENT = 500
 
 
-def token_sets(df: DataFrame, key: str, text: str, ngram: int, least: int) -> DataFrame:
+def token_sets(df: DataFrame, key: str, text: str, ngram: int, least: int, whole: bool = False) -> DataFrame:
     """(key, tokens): sorted distinct 64-bit hashes of word n-grams of texts with at least `least` different ones.
 
-    Words are the longest runs of letters or digits of the lower-cased text. Null, empty and shorter texts are left out.
+    Words are the longest runs of letters or digits of the lower-cased text. A text of fewer than `ngram` words has one
+    n-gram, all its words. Texts without words or with fewer n-grams are left out; if `whole`, they have no tokens.
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     out = df.select(F.col(key).alias("key"), words.alias("w"))
     if ngram == 1:
         tokens = F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x))
     else:
-        at = F.when(F.size("w") >= ngram, F.sequence(F.lit(1), F.size("w") - (ngram - 1))).otherwise(F.array().cast("array<int>"))
+        at = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (ngram - 1)))).otherwise(F.array().cast("array<int>"))
         tokens = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, ngram), " ")))
-    return out.select("key", F.array_sort(F.array_distinct(tokens)).alias("tokens")).where(F.size("tokens") >= max(1, least))
+    out = out.select("key", F.array_sort(F.array_distinct(tokens)).alias("tokens"))
+    enough = F.size("tokens") >= max(1, least)
+    return out.withColumn("tokens", F.when(enough, F.col("tokens")).otherwise(F.array().cast("array<long>"))) if whole else out.where(enough)
 
 
 def _overlap(a: int, b: int, t: float) -> int:
@@ -115,20 +118,22 @@ def similar_classes(classes: DataFrame, threshold: float, frequent: int = FREQUE
     return both.where(F.col("_c") >= threshold * (F.size("ta") + F.size("tb") - F.col("_c")) - 1e-9).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, ngram: int = 5, least: int = 1, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, ngram: int = 5, least: int = 1, frequent: int = FREQUENT, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (key, d) of every text with its class, pairs (a, b) of similar classes.
 
     Texts with equal token sets are one class, numbered by its smallest key. Every pair of classes at or above the
     threshold is found: the filters only drop pairs that can't reach it, and each is verified once. Texts that are null,
-    empty or have under `least` tokens are in no class.
+    empty, without words or have under `least` tokens are in no class; if `whole`, each is a class of its own.
     """
-    sets = token_sets(df, key, text, ngram, least)
+    sets = token_sets(df, key, text, ngram, least, whole)
     number = F.coalesce(F.col("key").try_cast("long"), F.xxhash64("key"))
     sets = materialise(sets.select("key", number.alias("d"), "tokens", F.xxhash64("tokens").alias("h1"), F.hash("tokens", F.size("tokens")).alias("h2")), "sets")
+    bare = sets.where("size(tokens) = 0").select("key", "d")
+    sets = sets.where("size(tokens) > 0")
     classes = materialise(sets.groupBy("h1", "h2").agg(F.min("d").alias("d"), F.first("tokens").alias("tokens")), "classes")
     members = sets.select("key", "h1", "h2").join(classes.select("h1", "h2", "d"), ["h1", "h2"]).select("key", "d")
     pairs = materialise(similar_classes(classes, threshold, frequent), "pairs")
-    return members, pairs
+    return members.unionByName(bare) if whole else members, pairs
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -51,7 +51,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return grouped(*near_duplicates(_contents(spark, sf), "id", "content")).withColumnRenamed("key", "message_id")
+    """One row per message; messages without words are groups of their own."""
+    return grouped(*near_duplicates(_contents(spark, sf), "id", "content", whole=True)).withColumnRenamed("key", "message_id")
 
 
 def _turns(spark: SparkSession, sf: str, accept: float) -> DataFrame:

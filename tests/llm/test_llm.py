@@ -96,6 +96,13 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert len(g) == len(texts) - 2 and sum(r.n_links for r in g) == 2 * len(want)
 
 
+def test_short_and_wordless_texts_are_grouped(spark):
+    texts = ["ok", "OK!", "thank you so much", "Thank you, so much.", "thank you so", "a b c d e f g", "", None, "?!", "\U0001f642"]
+    df = spark.createDataFrame([(str(i + 1), t) for i, t in enumerate(texts)], "id string, text string")
+    got = {r.key: (r.class_id, r.group_id, r.n_links) for r in neardup.grouped(*neardup.near_duplicates(df, "id", "text", whole=True)).collect()}
+    assert got == {"1": (1, 1, 1), "2": (1, 1, 1), "3": (3, 3, 1), "4": (3, 3, 1)} | {str(i): (i, i, 0) for i in range(5, 11)}
+
+
 def test_talks_drop_broken_ones(spark):
     s = "id string, channel_id string, author_id string, us long, reply_id string, content string, present boolean"
     rows = [("1", "c", "a", 1, None, "hi", True), ("2", "c", "b", 2, "1", "yo", True), ("3", "c", "a", 2, "1", "x", True), ("4", "c", "a", 1, None, "alone", True), ("5", "c", "a", 1, None, "q", True), ("6", "c", "b", 2, "5", " \n", True), ("7", "c", "a", 1, "8", "x", True), ("8", "c", "b", 1, "7", "y", True), ("9", "c", "a", 1, "404", "z", True), ("10", "c", None, 3, None, None, True)]
