@@ -113,6 +113,31 @@ def test_talks_drop_broken_ones(spark):
     assert talks.talks(spark.createDataFrame([], s)).count() == 0
 
 
+def test_links_reach_all_earlier_messages(spark):
+    s = "id string, channel_id string, author_id string, us long, reply_id string, content string, present boolean"
+    minute = 60_000_000
+    rows = [("1", "c", "7", 0, None, "deploy broke staging", True)] + [(str(i), "c", "8", i * minute, None, f"noise{i}", True) for i in range(2, 20)]
+    rows += [("20", "c", "9", 20 * minute, None, "<@7> staging deploy fixed", True)]
+    got = {r.id: r.parent for r in talks.link_candidates(spark.createDataFrame(rows, s)).collect()}
+    assert got["20"] == "1" and got["19"] == "18"
+    # all pairs compared, over the end of a day and with equal instants
+    rnd, day = random.Random(3), talks.SLICE_US
+    rows = [(str(i), rnd.choice("cd"), rnd.choice(["1", "2", "3", "", None]), day - 40 * minute + rnd.randrange(160) * minute // 2, None if rnd.random() < 0.8 else "5", " ".join(rnd.choice(["<@1>", "<@!2>", "alpha", "beta", "gamma", "delta", "at"]) for _ in range(4)), True) for i in range(300)]
+
+    def score(a, b):
+        words = [{w for w in x[5].replace("!", "").split() if w.isalpha() and len(w) > 2} for x in (a, b)]
+        named = bool(b[2]) and f"<@{b[2]}>" in a[5].replace("!", "")
+        return 0.35 * (1.0 - (a[3] - b[3]) / (30 * minute)) + (0.3 if named else 0.0) + 0.3 * (len(words[0] & words[1]) / max(1, min(map(len, words)))), b[3], b[0]
+
+    want = {}
+    for a in rows:
+        near = [score(a, b) for b in rows if a[1] == b[1] and (b[3], b[0]) < (a[3], a[0]) and a[3] - b[3] <= 30 * minute]
+        if a[4] is None and near:
+            want[a[0]] = max(near)[2]
+    got = {r.id: r.parent for r in talks.link_candidates(spark.createDataFrame(rows, s)).where("score < 1").collect()}
+    assert got == want
+
+
 def test_items_and_placeholders(spark):
     names = [("Lena", "given"), ("Nils", "given")] + [(a + b + c, "family") for a in ("Hol", "Kest", "Pell") for b in ("", "en", "a") for c in ("gard", "stein", "water", "field")]
     lex, model = pii.Lexicon(names), pii.Model.load()
