@@ -26,48 +26,88 @@ def _boundary(word: str, following: str) -> int:
     return (2 if last in _SENTENCE else 1 if last in _CLAUSE else 0) if last else 0
 
 
+def _parts(bpe: Bpe, word: str, limit: int) -> Iterator[tuple[str, int, bool]]:
+    """(part, tokens, landmark) of a word above the limit, cut where a rolling hash over its code points is a landmark.
+
+    Parts have limit / 8 to limit code points, fewer if their tokens would exceed the limit.
+    """
+    least, h, top = max(1, limit // 8), 0, pow(BASE, WINDOW, MODULUS)
+    places = []
+    for i, c in enumerate(word):
+        h = (h * BASE + ord(c) - (ord(word[i - WINDOW]) * top if i >= WINDOW else 0)) % MODULUS
+        if i >= WINDOW - 1 and h % LANDMARK == 0:
+            places.append(i + 1)
+    at = k = 0
+    while at < len(word):
+        while k < len(places) and places[k] < at + least:
+            k += 1
+        mark = k < len(places) and places[k] <= at + limit
+        step = (places[k] if mark else min(at + limit, len(word))) - at
+        while (n := bpe.length(word[at : at + step])) > limit and step > 1:
+            step, mark = max(1, step * limit // n if n > 2 * limit else step - max(1, step // 16)), False
+        yield word[at : at + step], n, mark
+        at += step
+
+
+def _tail(bpe: Bpe, word: str, room: int) -> int:
+    """How many last code points of a word, not all of them, encode to at most `room` tokens."""
+    low, high = 0, 1
+    while high < len(word) and len(bpe.word(word[-high:])) <= room:
+        low, high = high, 2 * high
+    high = min(high, len(word))
+    while high - low > 1:
+        k = (low + high) // 2
+        if len(bpe.word(word[-k:])) <= room:
+            low = k
+        else:
+            high = k
+    return low
+
+
 def chunk(bpe: Bpe, text: str, limit: int, least: int, overlap: int) -> list[tuple[int, int, int]]:
     """Pieces (start, end, tokens) of a text in code points; tokens never exceed the limit.
 
-    Words are the tokenizer's own, so a piece's length is the sum of its words' lengths. From `least` to `limit` tokens,
-    the first landmark of the rolling hash over the last words is taken and snapped to the nearest boundary of the best
-    kind in that range; without a landmark the last such boundary is taken. Hash and boundaries depend on nearby
-    words only, so an edit moves the cuts near it. The next piece begins `overlap` tokens before the cut, or as many
-    whole words as fit. A word longer than the limit, a long stretch without a blank, is first cut into parts of at
-    most limit code points that stay within it.
+    Words are the tokenizer's own, so a piece's length is the sum of its words' lengths, but for the pieces named below.
+    From `least` to `limit` tokens, the first landmark of the rolling hash over the last words is taken and snapped to
+    the nearest boundary of the best kind in that range; without a landmark the last such boundary is taken. Hash and
+    boundaries depend on nearby words only, so an edit moves the cuts near it. The next piece begins `overlap` tokens
+    before the cut: with as many whole words as fit, and of the word before them as many last code points as fill the
+    rest. A word that leaves no room for the overlap, a long stretch without a blank, is first cut into parts by a
+    rolling hash over its code points. Pieces that begin with a part of a word that joins the next, end in several words
+    of white space or hold such parts are measured again as a whole.
     """
     words: list[str] = []
     sizes: list[int] = []
+    cuts: dict[int, bool] = {}  # parts of over-long words, and whether a landmark ends them
+    most = max(1, limit - overlap)
     for w in bpe.split(text):
         n = bpe.length(w)
-        if n <= limit:
+        if n <= most:
             words.append(w)
             sizes.append(n)
             continue
-        at = 0
-        while at < len(w):
-            step = min(limit, len(w) - at)
-            while (n := bpe.length(w[at : at + step])) > limit and step > 1:
-                step = max(1, step * limit // n if n > 2 * limit else step - max(1, step // 16))
-            words.append(w[at : at + step])
+        for part, n, mark in _parts(bpe, w, most):
+            cuts[len(words)] = mark
+            words.append(part)
             sizes.append(n)
-            at += step
     total = sum(sizes)
-    if total <= limit:
+    if total <= limit or (cuts and (total := bpe.count(text)) <= limit):
         return [(0, len(text), total)]
     marks, grades, h, top = [], [], 0, pow(BASE, WINDOW, MODULUS)
     sums = [crc32(w.encode()) for w in words]
     for i, w in enumerate(words):
         h = (h * BASE + sums[i] - (sums[i - WINDOW] * top if i >= WINDOW else 0)) % MODULUS
-        marks.append(h % LANDMARK == 0)
+        marks.append(cuts.get(i, h % LANDMARK == 0))
         grades.append(_boundary(w, words[i + 1] if i + 1 < len(words) else ""))
     chars = [0]
     for w in words:
         chars.append(chars[-1] + len(w))
     out: list[tuple[int, int, int]] = []
-    start, fresh, n = 0, 0, len(words)  # fresh: first word not in any piece yet
+    # fresh: first word not in any piece yet; the piece begins at code point `begin`, with `lead` tokens before word `start`
+    # `joined`: the part of a word at the beginning doesn't stay a word of its own beside the next
+    start, fresh, n, begin, lead, joined = 0, 0, len(words), 0, 0, False
     while True:
-        size, i, first, landmark = 0, start, None, None
+        size, i, first, landmark = lead, start, None, None
         while i < n and size + sizes[i] <= limit:
             size += sizes[i]
             if size >= least and i >= fresh:
@@ -75,20 +115,45 @@ def chunk(bpe: Bpe, text: str, limit: int, least: int, overlap: int) -> list[tup
                 landmark = i if landmark is None and marks[i] else landmark
             i += 1
         if i == n:
-            out.append((chars[start], chars[n], size))
+            cut = n - 1
+        else:
+            last = i - 1
+            first = max(fresh, last) if first is None else first
+            best = max(grades[first : last + 1], default=0)
+            places = [k for k in range(first, last + 1) if grades[k] == best] or [last]
+            cut = min(places, key=lambda k: (abs(k - landmark), k)) if landmark is not None else places[-1]
+            cut = max(cut, fresh)
+        size = lead + sum(sizes[start : cut + 1])
+        blank = cut > start and not words[cut].strip() and not words[cut - 1].strip()
+        if (lead and joined) or blank or (cuts and any(k in cuts for k in range(start, cut + 1))):
+            # what is shared is given up before what is new
+            while (size := bpe.count(text[begin : chars[cut + 1]])) > limit and (begin < chars[fresh] or cut > fresh):
+                if begin < chars[fresh]:
+                    begin += 1
+                else:
+                    cut -= 1
+        out.append((begin, chars[cut + 1], size))
+        if cut == n - 1:
             return out
-        last = i - 1
-        first = max(fresh, last) if first is None else first
-        best = max(grades[first : last + 1], default=0)
-        places = [k for k in range(first, last + 1) if grades[k] == best] or [last]
-        cut = min(places, key=lambda k: (abs(k - landmark), k)) if landmark is not None else places[-1]
-        cut = max(cut, fresh)
-        out.append((chars[start], chars[cut + 1], sum(sizes[start : cut + 1])))
-        fresh, start, back = cut + 1, cut + 1, 0
+        fresh, start, back, lead, previous = cut + 1, cut + 1, 0, 0, begin
         # room for at least the next new word must be left
-        while start - 1 > 0 and back + sizes[start - 1] <= overlap and back + sizes[start - 1] + sizes[fresh] <= limit:
+        room = min(overlap, limit - sizes[fresh])
+        while start and chars[start - 1] > previous and back + sizes[start - 1] <= room:
             start -= 1
             back += sizes[start]
+        while cuts and start < fresh and bpe.count(text[chars[start] : chars[fresh]]) > overlap:
+            back -= sizes[start]
+            start += 1
+        begin = chars[start]
+        if start and back < room and begin - 1 > previous:
+            begin -= min(_tail(bpe, words[start - 1], room - back), begin - 1 - previous)
+            while begin < chars[start]:
+                lead, joined = len(bpe.word(text[begin : chars[start]])), bpe.split(text[begin : chars[start + 1]])[0] != text[begin : chars[start]]
+                blank = fresh - start > 1 and not words[fresh - 1].strip() and not words[fresh - 2].strip()
+                if back + lead <= room and not ((joined or cuts or blank) and bpe.count(text[begin : chars[fresh]]) > overlap):
+                    break
+                begin += 1
+            lead = lead if begin < chars[start] else 0
 
 
 def split_texts(df: DataFrame, limit: int = 512, least: int = 256, overlap: int = 32, key: str = "doc_id", text: str = "text", path: str = DEFAULT) -> DataFrame:

@@ -81,6 +81,22 @@ def test_pieces_cover_overlap_and_stay_local(bpe, spark):
     assert [r.n_tokens for r in got if r.doc_id == 3] == [1] and not [r for r in got if r.doc_id in (1, 2)]
 
 
+def test_overlap_is_filled_without_blanks(bpe):
+    rnd = random.Random(7)
+    clause = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x5E00)) for _ in range(n))
+    for text in ("。".join(clause(rnd.randrange(20, 60)) for _ in range(120)), clause(4000), "word " * 300 + clause(3000) + " it's over. " * 200):
+        ps = chunk(bpe, text, 512, 256, 32)
+        shared = [bpe.count(text[s2:e]) for (_, e, _), (s2, _, _) in zip(ps, ps[1:])]
+        assert ps[0][0] == 0 and ps[-1][1] == len(text) and max(shared) <= 32 and min(shared) >= 27
+        assert all(s < s2 <= e < e2 for (s, e, _), (s2, e2, _) in zip(ps, ps[1:]))
+        assert all(n == bpe.count(text[s:e]) <= 512 for s, e, n in ps)
+    # an edit within a long stretch moves the cuts near it only
+    text = clause(12000)
+    edited = text[:1500] + clause(3) + text[1500:]
+    same = {text[s:e] for s, e, _ in chunk(bpe, text, 512, 256, 32)} & {edited[s:e] for s, e, _ in chunk(bpe, edited, 512, 256, 32)}
+    assert len(same) > 0.6 * len(chunk(bpe, text, 512, 256, 32))
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rnd = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
