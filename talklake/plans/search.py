@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +43,43 @@ def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return search_messages(Archive(spark, sf).messages, "feature flag", 50).select("id", "channel_id", "content")
 
 
+#: Letters with diacritics and their bases, as far as the index's tokenizer folds them.
+_MARKED = {c: d[0] for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])}
+
+
+def plain_tokens(c: Column | str) -> Column:
+    """Tokens without diacritics."""
+    folded = F.translate(F.lower(F.col(c) if isinstance(c, str) else c), "".join(_MARKED), "".join(_MARKED.values()))
+    return tokens(F.regexp_replace(folded, r"[\x{300}-\x{36f}]", ""))
+
+
+def search_units(df: DataFrame, query: str, fields: list[str], limit: int) -> DataFrame:
+    """Rows that hold every unit of the query, newest id first.
+
+    The query is split on white space; a unit, with its words in a row, may be in any of the fields. Candidates are capped
+    before the empty ones are dropped, as in the archive's own search.
+    """
+    fold = lambda u: "".join(x for x in unicodedata.normalize("NFD", u.lower()) if not unicodedata.combining(x))
+    units = [w for u in query.split() if (w := re.findall(r"[^\W_]+", fold(u)))]
+    if not units:
+        return df.limit(0)
+    hit = df.select("*", *[plain_tokens(f).alias(f"_{f}") for f in fields])
+    for u in units:
+        hit = hit.where(reduce(Column.__or__, [has_phrase(F.col(f"_{f}"), u) for f in fields]))
+    newest = [F.desc(F.col("id").try_cast("long")), F.desc("id")]
+    hit = hit.orderBy(*newest).limit(min(5000, max(200, 20 * limit))).where("trim(coalesce(normalized_content, '')) <> ''")
+    return hit.orderBy(*newest).limit(limit).drop(*[f"_{f}" for f in fields])
+
+
+def lexical_search_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible messages with both words, each in the author's name, the channel's name or the normalized content."""
+    a = Archive(spark, sf)
+    p = a.members.select("guild_id", F.col("user_id").alias("author_id"), F.coalesce("nick", "global_name", "username").alias("author_name"))
+    m = a.messages.where("not deleted").join(a.channels.select(F.col("id").alias("channel_id"), F.col("name").alias("channel_name")), "channel_id", "left").join(p, ["guild_id", "author_id"], "left")
+    hit = search_units(m, "feature flag", ["author_name", "channel_name", "normalized_content"], 50)
+    return hit.select("id", "channel_id", F.when(F.trim(F.coalesce("content", F.lit(""))) != "", F.col("content")).otherwise(F.col("normalized_content")).alias("content"))
+
+
 def _equals(word: str):
     return lambda x: x == word
 
@@ -130,7 +171,7 @@ def hybrid_search_all(spark: SparkSession, sf: str) -> DataFrame:
     return fused.withColumn("_r", F.row_number().over(w)).where("_r <= 20").drop("_r")
 
 
-QUERIES = {f.__name__: f for f in (lexical_search, bm25_documents, semantic_search, hybrid_search, bm25_documents_all, semantic_search_all, hybrid_search_all)}
+QUERIES = {f.__name__: f for f in (lexical_search, lexical_search_units, bm25_documents, semantic_search, hybrid_search, bm25_documents_all, semantic_search_all, hybrid_search_all)}
 
 _D_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _D_BM25 = rf"""w as (select doc_id, {_D_TOKENS} as w from documents), x as (select doc_id, len(w) as n, len(list_filter(w, lambda t: t = '{WORDS[0]}')) as a, len(list_filter(w, lambda t: t = '{WORDS[1]}')) as b from w),
@@ -142,7 +183,9 @@ t as (select doc_id, any_value(len(w)) as n, word, count(*) as tf from (select d
 f as (select word, count(*) as df from t group by word),
 bm as (select q.doc_id as query_id, t.doc_id, round(sum(ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * t.tf * 2.2::double / (t.tf + 1.2::double * (0.25::double + 0.75::double * t.n / av))), 6) as score from t join f using (word) join t q using (word), s where q.doc_id % {EVERY} = 0 group by 1, 2)"""
 _D_SEM_ALL = f"sem as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % {EVERY} = 0)"
+_D_UNIT = r"list_has_any([{0}], regexp_extract_all(lower(strip_accents(coalesce(p.nick, p.global_name, p.username, ''))), '[\p{{L}}\p{{N}}]+') || regexp_extract_all(lower(strip_accents(coalesce(c.name, ''))), '[\p{{L}}\p{{N}}]+') || regexp_extract_all(lower(strip_accents(coalesce(m.normalized_content, ''))), '[\p{{L}}\p{{N}}]+'))"
 SQL = {
+    "lexical_search_units": with_sql("mcp", f"select id, channel_id, case when trim(coalesce(content, '')) <> '' then content else normalized_content end as content from (select m.* from m left join c on c.id = m.channel_id left join p on p.guild_id = m.guild_id and p.user_id = m.author_id where not m.deleted and {_D_UNIT.format(chr(39) + 'feature' + chr(39))} and {_D_UNIT.format(chr(39) + 'flag' + chr(39))} order by m.id::bigint desc limit 1000) where trim(coalesce(normalized_content, '')) <> '' order by id::bigint desc limit 50"),
     "bm25_documents_all": f"with {_D_BM25_ALL} select * from bm qualify row_number() over (partition by query_id order by score desc, doc_id) <= 50",
     "semantic_search_all": f"with {_D_SEM_ALL} select * from sem qualify row_number() over (partition by query_id order by score desc, vec_id desc) <= 20",
     "hybrid_search_all": f"with {_D_BM25_ALL}, {_D_SEM_ALL}, l as (select query_id, doc_id as id, row_number() over (partition by query_id order by score desc, doc_id desc) as r, 1 as lexical from bm where query_id in (select vec_id from embeddings) qualify r <= 200), v as (select query_id, vec_id as id, row_number() over (partition by query_id order by score desc, vec_id desc) as r, 0 as lexical from sem qualify r <= 200), u as (select query_id, id, round(sum(1.0::double / (60 + r)), 6) as score, max(lexical) as lexical from (select * from l union all select * from v) group by query_id, id) select * from u qualify row_number() over (partition by query_id order by score desc, lexical desc, id desc) <= 20",

@@ -135,3 +135,12 @@ def test_search_queries_cover_all_ids_divisible_by_hundred(spark):
         pytest.skip("no test tables here")
     for name in ("semantic_search_all", "hybrid_search_all"):
         assert sorted({r.query_id for r in registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}) == [0, 100, 200, 300, 400]
+
+
+def test_search_units_match_apart_and_in_names(spark):
+    from talklake.plans.search import search_units
+
+    s = "id string, author_name string, channel_name string, normalized_content string"
+    df = spark.createDataFrame([("1", None, None, "a flag for the feature"), ("2", "Féature Bot", "x", "no flag"), ("3", None, "flag", "feature"), ("4", None, None, "feature"), ("10", "flag", "feature", " ")], s)
+    assert [r.id for r in search_units(df, " Feature  flag ", ["author_name", "channel_name", "normalized_content"], 5).collect()] == ["3", "2", "1"]
+    assert [r.id for r in search_units(df, "the-feature", ["normalized_content"], 5).collect()] == ["1"]
