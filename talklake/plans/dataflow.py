@@ -47,6 +47,13 @@ def merge_tables(spark: SparkSession, sf: str) -> DataFrame:
     return merge_newer(stored, incoming, ["k"], "version", "gone").select("k", "version", "v")
 
 
+def merge_tables_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """A second version of every order merged into the first."""
+    o = _orders(spark, sf).withColumn("gone", F.when(F.col("s") == "F", F.lit("x")))
+    incoming = o.withColumn("version", F.col("k") % 5).withColumn("v", F.col("v") + 1)
+    return merge_newer(o.withColumn("version", F.col("k") % 7), incoming, ["k"], "version", "gone").select("k", "version", "v")
+
+
 def metric_series(spark: SparkSession, sf: str) -> DataFrame:
     """Event types of each user, once per change."""
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
@@ -81,7 +88,7 @@ def rank_orders(spark: SparkSession, sf: str) -> DataFrame:
     return o.withColumn("place", F.row_number().over(w)).where("place <= 3").select("o_custkey", "o_orderkey", "place")
 
 
-QUERIES = {f.__name__: f for f in (cdc_capture, cdc_compaction, cdc_changed_keys, cdc_status, merge_tables, metric_series, failure_report, delivery_parts, event_windows, pricing_summary, rank_orders)}
+QUERIES = {f.__name__: f for f in (cdc_capture, cdc_compaction, cdc_changed_keys, cdc_status, merge_tables, merge_tables_whole, metric_series, failure_report, delivery_parts, event_windows, pricing_summary, rank_orders)}
 
 _O = "o as (select o_orderkey as k, o_orderstatus as s, round(o_totalprice, 2) as v from orders)"
 _C = r"""c as (select lower(regexp_replace(table_name, '^\s+|\s+$', '', 'g')) as table_name, from_json(case when json_valid(row_key) and json_type(row_key) = 'ARRAY' then row_key end, '["VARCHAR"]') as k, recorded_at_ms as ms, seq, lower(regexp_replace(op, '^\s+|\s+$', '', 'g')) as op from change_log),
@@ -92,6 +99,7 @@ SQL = {
     "cdc_changed_keys": f"with {_C} select table_name, row_key, max(seq) as seq, case when arg_max(live, seq) then 'upsert' else 'delete' end as op from v group by 1, 2",
     "cdc_status": f"with {_C} select table_name, count(distinct seq) as entries, min(seq) as floor, max(seq) as head from v group by 1",
     "merge_tables": f"with {_O}, x as (select k, k % 7 as version, v, s = 'F' as gone, 0 as new from o union all select k, k % 5, v + 1, s = 'F', 1 from o where k % 3 = 0) select k, version, v from x qualify row_number() over (partition by k order by version desc, gone desc, new) = 1",
+    "merge_tables_whole": f"with {_O}, x as (select k, k % 7 as version, v, s = 'F' as gone, 0 as new from o union all select k, k % 5, v + 1, s = 'F', 1 from o) select k, version, v from x qualify row_number() over (partition by k order by version desc, gone desc, new) = 1",
     "metric_series": "select user_id, event_id, event_type from events window w as (partition by user_id order by event_id) qualify row_number() over w = 1 or event_type is distinct from lag(event_type) over w",
     "failure_report": "select user_id, event_type, epoch_us(min(ts)) as first_seen, epoch_us(max(ts)) as last_seen, count(*) - 1 as retry_count from events where event_type = 'error' group by 1, 2",
     "delivery_parts": "with x as (select user_id, length(props) as bytes, (sum(length(props)) over (partition by user_id order by event_id rows unbounded preceding)::bigint - 1) // 256 as part from events) select user_id, part, count(*) as n, sum(bytes)::bigint as bytes from x group by 1, 2",

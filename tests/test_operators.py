@@ -144,3 +144,16 @@ def test_search_units_match_apart_and_in_names(spark):
     df = spark.createDataFrame([("1", None, None, "a flag for the feature"), ("2", "Féature Bot", "x", "no flag"), ("3", None, "flag", "feature"), ("4", None, None, "feature"), ("10", "flag", "feature", " ")], s)
     assert [r.id for r in search_units(df, " Feature  flag ", ["author_name", "channel_name", "normalized_content"], 5).collect()] == ["3", "2", "1"]
     assert [r.id for r in search_units(df, "the-feature", ["normalized_content"], 5).collect()] == ["1"]
+
+
+def test_whole_merge_takes_every_order(spark):
+    import os
+
+    import pytest
+    from talklake.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    got = {r.k: r.version for r in registry.QUERIES["merge_tables_whole"](spark, folder).collect()}
+    assert any(k % 3 for k in got) and all(v == max(k % 7, k % 5) for k, v in got.items())
