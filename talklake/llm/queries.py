@@ -18,8 +18,6 @@ from .talks import STATED, talks
 #: Similarity and different words of p3, as TESTDATA.md states them.
 SIMILAR, LEAST_WORDS = 0.7, 20
 CAPACITY = 2048
-#: Bound of the list of known names, which is a fixed table.
-KNOWN_NAMES = 50_000
 
 
 def _contents(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,10 +26,7 @@ def _contents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pii(spark: SparkSession, sf: str, use) -> DataFrame:
     texts = current_rows(table(spark, sf, "messages"), {"content": none_if_empty("content"), "normalized_content": none_if_empty("normalized_content")})
-    known = table(spark, sf, "known_names").orderBy("name_id").select("name", "part_of_name").limit(KNOWN_NAMES + 1).collect()
-    if len(known) > KNOWN_NAMES:
-        raise ValueError("the list of known names goes with the code and must stay small")
-    return use(texts, "id", ["content", "normalized_content"], [(r[0], r[1]) for r in known if r[0]])
+    return use(texts, "id", ["content", "normalized_content"], table(spark, sf, "known_names"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
