@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,14 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import bare
-from ..session import read_text, remove, write_text
+from .store import BucketStore
 
 STATE = "table_name string, row_key string, ms long, seq long, live boolean"
 _ARROW = pa.schema([("table_name", pa.string()), ("row_key", pa.string()), ("ms", pa.int64()), ("seq", pa.int64()), ("live", pa.bool_())])
 #: Keys that a DuckDB instance holds before it hands its rows on (map side only, where a key may come again).
 COMBINE_KEYS = 200_000
-#: Rows of a bucket the buckets are planned for.
-BUCKET_ROWS = 200_000
 
 _UPSERT = """
 insert into state
@@ -81,44 +78,36 @@ def _upserts(limit: int):
     return run
 
 
-class ChangeStore:
+class ChangeStore(BucketStore):
     """Latest change per key, tombstones included, in buckets of files; a manifest names the published generation."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        state = json.loads(read_text(spark, f"{self.path}/manifest.json") or "{}")
-        self.generation: int = state.get("generation", 0)
-        self.current: str | None = state.get("current")
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        super().__init__(spark, path, ["table_name", "row_key"], buckets)
 
     def apply(self, changes: DataFrame, rows: int | None = None) -> None:
-        """Fold one batch of canonical changes into the state and publish all buckets at once.
+        """Fold one batch of canonical changes into the state and publish all its buckets at once.
 
         Batches may come in any order and more than once: an upsert only takes effect if its (ms, seq) is
         above the stored one, and tombstones keep theirs. Each map task first upserts what it reads into a DuckDB
-        of its own, so a key with a third of all changes sends one row per task.
+        of its own, so a key with a third of all changes sends one row per task. Only the buckets of the batch's keys
+        are read and replaced. A batch whose writer died can be applied again.
         """
-        known = self.spark.read.schema(STATE).parquet(self.current) if self.current else None
-        rows = rows if rows is not None else changes.count()
-        rows += known.count() if known is not None else 0
-        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
-        feed = changes.select("table_name", "row_key", "ms", "seq", "live").mapInArrow(_upserts(COMBINE_KEYS), STATE)
-        feed = feed if known is None else feed.unionByName(known)
-        state = feed.repartition(buckets, "table_name", "row_key").mapInArrow(_upserts(0), STATE)
-        self.generation += 1
-        path = f"{self.path}/state/{self.generation:06d}"
-        state.write.parquet(path)
-        self.current = path
-        write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"generation": self.generation, "current": path}))
+        changes = changes.select("table_name", "row_key", "ms", "seq", "live")
+        self.plan_buckets(changes.count() if rows is None else rows)
+        feed = changes.mapInArrow(_upserts(COMBINE_KEYS), STATE)
+        if self.files("state"):
+            touched = [r[0] for r in changes.select(self.bucket().alias("b")).distinct().collect()]  # at most self.buckets
+            known = self.read("state", touched)
+            feed = feed if known is None else feed.unionByName(known)
+        placed = feed.repartition(self.buckets, self.bucket())
+        self.write(placed.mapInArrow(_upserts(0), STATE), "state", replace=True, placed=True)
+        self.publish()
 
     def state(self) -> DataFrame:
         """Latest change of every key, deleted keys with live = false."""
-        if self.current is None:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(self.current)
+        known = self.read("state")
+        return self.spark.createDataFrame([], STATE) if known is None else known
 
     def rows(self) -> DataFrame:
         """Keys that exist: (table_name, row_key, changed_ms)."""
         return self.state().where("live").select("table_name", "row_key", F.col("ms").alias("changed_ms"))
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)

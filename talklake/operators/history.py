@@ -2,19 +2,18 @@
 
 The store keeps the raw observations and, per bucket of entities, the chain of versions built from them. A batch of
 observations, new, late or corrected, is appended to the raw part; then the raw observations of just the touched
-entities are read back, their chains rebuilt from scratch and the touched buckets replaced by one atomic rename of
-the manifest. A reader sees the state before or after a batch, never a part of it.
+entities are read back, their chains rebuilt from scratch and the touched buckets replaced by the rename of one
+manifest. A reader sees the state before or after a batch, never a part of it.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import instant_us, none_if_empty
-from ..session import hot_keys, read_text, remove, write_text
+from ..session import hot_keys
+from .store import BucketStore
 
 #: valid_to_us of a version that still holds.
 OPEN = -1
@@ -69,74 +68,49 @@ def build_versions(observations: DataFrame, keys: list[str], hot: list | None =
         obs = observations.join(F.broadcast(h), keys, "left").withColumn("_long", F.col("_parts").isNotNull())
         width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_parts")))
         obs = obs.withColumn("_slice", F.coalesce(F.floor((F.col("at") - F.col("_lo")) / width), F.lit(0)).cast("int")).drop("_c", "_lo", "_hi", "_parts")
-    first = Window.partitionBy(*keys, "_slice", "at").orderBy(F.desc("present"), F.xxhash64("state"))
-    obs = obs.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    # the windows that follow share this partitioning and order
+    first = Window.partitionBy(*keys, "_slice").orderBy("at", F.desc("present"), F.xxhash64("state"))
+    obs = obs.withColumn("_before", F.lag("at").over(first)).where("_before is null or _before <> at").drop("_before")
     runs = _neighbour(obs, keys, -1, ["present", "state"], hot)
     runs = runs.where(F.col("_n").isNull() | ~F.struct("present", "state").eqNullSafe(F.col("_n"))).drop("_n")
     runs = _neighbour(runs, keys, 1, ["at"], hot)
     return runs.where("present").select(*keys, "state.*", F.col("at").alias("valid_from_us"), F.coalesce(F.col("_n.at"), F.lit(OPEN)).alias("valid_to_us"))
 
 
-class HistoryStore:
-    """Raw observations and version chains of one entity type under a path."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 16):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
-        state = json.loads(read_text(spark, f"{self.path}/manifest.json") or "{}")
-        self.buckets = state.get("buckets", buckets)
-        self.generation: int = state.get("generation", 0)
-        self.raw: list[str] = state.get("raw", [])
-        self.chains: dict[str, str] = state.get("chains", {})
-        self.schemas: dict[str, str] = state.get("schemas", {})
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+class HistoryStore(BucketStore):
+    """Raw observations and version chains of one entity type under a path, in buckets of entities."""
 
-    def _read(self, paths: list[str], kind: str, buckets: list[int] | None) -> DataFrame | None:
-        if not paths:
-            return None
-        df = self.spark.read.schema(self.schemas[kind]).option("basePath", f"{self.path}/{kind}").parquet(*sorted(paths)).drop("_generation")
-        return df if buckets is None else df.where(F.col("_bucket").isin(buckets))
-
-    def _write(self, df: DataFrame, kind: str) -> str:
-        path = f"{self.path}/{kind}/_generation={self.generation}"
-        df.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
-        self.schemas[kind] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return path
+    #: A bucket's raw observations are put together when they lie in more folders than this.
+    COMPACT = 8
 
     def apply(self, observations: DataFrame) -> None:
-        """Take in one batch: late and corrected observations rebuild the chains of their entities only."""
-        self.generation += 1
-        batch = observations.withColumn("_bucket", self._bucket())
-        self.raw.append(self._write(batch, "raw"))
-        new = self._read(self.raw[-1:], "raw", None)
-        touched_buckets = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most self.buckets
-        if touched_buckets:
-            all_raw = self._read(self.raw, "raw", touched_buckets)
-            if len(self.raw) > 1:
-                touched = new.select(*self.keys).distinct()
-                all_raw = all_raw.join(touched, self.keys, "left_semi")
-            rebuilt = build_versions(all_raw.drop("_bucket"), self.keys).withColumn("_bucket", self._bucket())
-            old = sorted({p for b, p in self.chains.items() if int(b) in touched_buckets})
-            if old:
-                kept = [self._read([p], "chains", [b for b in touched_buckets if self.chains.get(str(b)) == p]) for p in old]
-                for k in kept:
-                    rebuilt = rebuilt.unionByName(k.join(touched, self.keys, "left_anti"))
-            path = self._write(rebuilt, "chains")
-            self.chains |= {str(b): path for b in touched_buckets}
-        self._publish()
-
-    def _publish(self) -> None:
-        fields = {k: getattr(self, k) for k in ("buckets", "generation", "raw", "chains", "schemas")}
-        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(fields))
+        """Take in one batch: late and corrected observations rebuild the chains of their entities only.
+
+        Buckets without an entity of the batch keep their files. A crash before the end leaves the last published state,
+        and the batch can be applied again; one that was published already changes nothing when it comes again.
+        """
+        self.plan_buckets(observations.count())
+        before = {b: list(paths) for b, paths in self.files("raw").items()}
+        touched = self.write(observations, "raw", replace=False)
+        if touched:
+            new = self.read_paths("raw", [p for b in touched for p in self.files("raw")[b] if p not in before.get(b, ())])
+            raw = self.read("raw", touched)
+            old = self.read("chains", touched)
+            if before:
+                entities = new.select(*self.keys).distinct()
+                rebuilt = build_versions(raw.join(entities, self.keys, "left_semi"), self.keys)
+                if old is not None:
+                    rebuilt = rebuilt.unionByName(old.join(entities, self.keys, "left_anti"))
+            else:
+                rebuilt = build_versions(raw, self.keys)
+            # a bucket whose entities were never present has no chains
+            self.forget("chains", touched)
+            self.write(rebuilt, "chains", replace=True)
+            many = [b for b in touched if len(self.files("raw")[b]) > self.COMPACT]
+            if many:
+                self.write(self.read("raw", many), "raw", replace=True)
+        self.publish()
 
     def versions(self) -> DataFrame | None:
-        """All versions of the published generation."""
-        out = None
-        for path in sorted(set(self.chains.values())):
-            part = self._read([path], "chains", [int(b) for b, p in self.chains.items() if p == path]).drop("_bucket")
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
+        """All versions of the generation at hand; None before the first."""
+        return self.read("chains")

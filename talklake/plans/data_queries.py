@@ -15,14 +15,23 @@ from ..session import work_path
 from ..sources.tables import table
 
 
+#: Share of each file's rows, by their order, that comes as the first of the two batches.
+FIRST_BATCH = 0.75
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    """History of members, loaded in two batches: all before the last month, then that month's late chains."""
-    obs = member_observations(table(spark, sf, "members"))
-    last = obs.agg(F.max("at")).first()[0] or 0
-    start = last - 30 * 86_400_000_000
+    """History of members, loaded in the order of arrival in two batches.
+
+    The rows lie far out of order, so the second batch holds late observations all over the chains of the first: only the
+    rebuilding of the affected chains makes the versions right.
+    """
+    members = table(spark, sf, "members").select("*", F.col("_metadata.row_index").alias("_at_row"), F.col("_metadata.file_path").alias("_file"))
+    last = members.groupBy("_file").agg(F.max("_at_row").alias("_last"))  # one row per file
+    members = members.join(last, "_file")
+    first = F.col("_at_row") < FIRST_BATCH * (F.col("_last") + 1)
     store = HistoryStore(spark, work_path(spark, "history"), ["guild_id", "user_id"])
-    store.apply(obs.where(F.col("at") < start))
-    store.apply(obs.where(F.col("at") >= start))
+    for part in (members.where(first), members.where(~first)):
+        store.apply(member_observations(part))
     versions = store.versions()
     if versions is None:
         return spark.createDataFrame([], "guild_id string, user_id string, display_name string, nick string, roles array<string>, valid_from_us long, valid_to_us long")
@@ -44,12 +53,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return store.rows()
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return find_orphans(table(spark, sf, "messages"), table(spark, sf, "channels"), table(spark, sf, "members"))
+def _orphans(spark: SparkSession, sf: str, cascade: bool = True) -> DataFrame:
+    return find_orphans(table(spark, sf, "messages"), table(spark, sf, "channels"), table(spark, sf, "members"), cascade)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _orphans(spark, sf).where("kind = 'direct'").select("table_name", "field", "record_id", "status")
+    """The direct stage alone: no row of it depends on the cascade, which p5_report has."""
+    return _orphans(spark, sf, cascade=False).select("table_name", "field", "record_id", "status")
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +140,7 @@ select table_name, row_key, ms as changed_ms from l where n = 1 and live""",
   union all select 'channels', id, month, 'parent_id', 'channels', parent_id from channels_c where parent_id is not null),
 walk as (
   select distinct table_name as t, record_id as id, 0 as depth from direct
-  union select e.t, e.id, w.depth + 1 from walk w join edges e on e.to_t = w.t and e.to_id = w.id where w.depth < 200),
+  union select e.t, e.id, w.depth + 1 from walk w join edges e on e.to_t = w.t and e.to_id = w.id where w.depth < (select count(*) from messages_c)),
 first as (select t, id, min(depth) as depth from walk group by 1, 2),
 rows as (
   select table_name, field, month, status, 'direct' as kind from direct

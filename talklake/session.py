@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when its counted rows stay under this bound.
-BROADCAST_ROWS = 100_000
+#: A side of a join is broadcast only when the files it is read from have at most this size, some ten times as much in memory.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +50,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it is missing."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file and publish it by rename, so readers see the old or the new content."""
     fs, p = _fs(spark, path)
@@ -64,6 +70,27 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     ctx.rename(tmp, p, options)
 
 
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that mustn't exist yet, by rename; False if another writer was there first."""
+    fs, p = _fs(spark, path)
+    _, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        ctx.rename(tmp, p, options)
+    except Exception as e:  # the Java exception's class is only known by name here
+        fs.delete(tmp, False)
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
@@ -92,11 +119,22 @@ def release(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast hint only when df, a materialised table, has at most BROADCAST_ROWS rows; otherwise AQE joins by shuffle."""
-    if rows is None:
-        rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def written_bytes(df: DataFrame) -> int | None:
+    """Size of the files that materialise() wrote for df."""
+    path = getattr(df, "_talklake_path", None)
+    if not path:
+        return None
+    fs, p = _fs(df.sparkSession, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
+def maybe_broadcast(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """Broadcast hint only where the files df is read from (those of `written`, if it isn't materialised itself) are small.
+
+    Beyond BROADCAST_BYTES the join is left to AQE, which shuffles.
+    """
+    size = written_bytes(df if written is None else written)
+    return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES else df
 
 
 def hot_keys(df: DataFrame, keys: list[str], at: str, least: int = 200_000, parts: int = 10_000) -> list:

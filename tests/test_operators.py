@@ -98,6 +98,33 @@ def test_orphans_cascade_and_circles(spark):
     got = rows(find_orphans(messages, channels, members).select("table_name", "field", "record_id", "status", "depth"))
     assert got == sorted([("messages", "reply_to_message_id", "1", "missing", 0), ("messages", "reply_to_message_id", "2", "inherited", 1), ("messages", "reply_to_message_id", "3", "inherited", 2), ("messages", "channel_id", "6", "deleted", 0), ("messages", "author_id", "6", "missing", 0), ("channels", "parent_id", "gone", "missing", 0)])
     assert rows(find_orphans(messages.limit(0), channels.limit(0), members.limit(0))) == []
+    direct = rows(find_orphans(messages, channels, members, cascade=False).select("table_name", "field", "record_id", "status", "depth"))
+    assert direct == [r for r in got if r[4] == 0]
+
+
+def test_orphans_of_long_chains_equal_a_breadth_first_walk(spark):
+    rnd = random.Random(11)
+    # a chain of 1,000 below a missing message, random trees, a circle, nested channels of which one is deleted
+    parent = {i: i - 1 if i > 1 else 9999 for i in range(1, 1001)} | {i: rnd.choice([None, rnd.randrange(2000, i)]) for i in range(2001, 2300)} | {3000: 3002, 3001: 3000, 3002: 3001}
+    parent[2000] = None
+    channel = {i: rnd.choice(["a", "b", "c", "d"]) if i >= 2000 else "a" for i in parent}
+    up = {"a": None, "b": "x", "c": "b", "d": "c", "x": None}
+    at = "2025-02-01T00:00:00Z"
+    m = spark.createDataFrame([(str(i), "g", channel[i], None, None if p is None else str(p), at, at, None) for i, p in parent.items()], "id string, guild_id string, channel_id string, author_id string, reply_to_message_id string, created_at string, updated_at string, deleted_at string")
+    c = spark.createDataFrame([(k, "g", p, at, at if k == "x" else None) for k, p in up.items()], "id string, guild_id string, parent_id string, updated_at string, deleted_at string")
+    edges = [(("messages", str(i)), "reply_to_message_id", ("messages", str(p))) for i, p in parent.items() if p is not None] + [(("messages", str(i)), "channel_id", ("channels", channel[i])) for i in parent] + [(("channels", k), "parent_id", ("channels", p)) for k, p in up.items() if p]
+    exists = {("messages", str(i)) for i in parent} | {("channels", k) for k in up}
+    gone = {("channels", "x")}
+    depth = {e[0]: 0 for e in edges if e[2] not in exists or e[2] in gone}
+    want, front = [(*e[0], e[1], 0) for e in edges if e[2] not in exists or e[2] in gone], set(depth)
+    for d in range(1, 1200):
+        new = [e for e in edges if e[2] in front and e[0] not in depth]
+        want += [(*e[0], e[1], d) for e in new]
+        front = {e[0] for e in new}
+        depth |= dict.fromkeys(front, d)
+    members = spark.createDataFrame([], "guild_id string, user_id string, updated_at string, deleted_at string")
+    got = rows(find_orphans(m, c, members).select("table_name", "record_id", "field", "depth"))
+    assert max(depth.values()) >= 999 and got == sorted(want)
 
 
 def test_merge_and_run_length(spark):
@@ -157,3 +184,86 @@ def test_whole_merge_takes_every_order(spark):
         pytest.skip("no test tables here")
     got = {r.k: r.version for r in registry.QUERIES["merge_tables_whole"](spark, folder).collect()}
     assert any(k % 3 for k in got) and all(v == max(k % 7, k % 5) for k, v in got.items())
+
+
+def files(store, kind):
+    return {b: sorted(p) for b, p in store.files(kind).items()}
+
+
+def test_history_touches_only_its_buckets_and_survives_a_crash(spark):
+    t = "2025-01-0{}T00:00:00Z".format
+    first = obs(spark, *[("1", f"u{i}", "x", None, None, t(1 + i % 3), None) for i in range(60)])
+    store = history.HistoryStore(spark, work_path(spark, "t"), ["guild_id", "user_id"], 16)
+    store.apply(first)
+    before = files(store, "chains")
+    late = obs(spark, ("1", "u7", "y", None, None, "2024-12-31T00:00:00Z", None))
+
+    class Killed(history.HistoryStore):
+        def publish(self):
+            raise OSError("killed")
+
+    for _ in range(2):
+        try:
+            Killed(spark, store.path, store.keys).apply(late)
+        except OSError:
+            pass
+    again = history.HistoryStore(spark, store.path, store.keys)
+    assert files(again, "chains") == before and again.generation == 1
+    again.apply(late)
+    after = files(again, "chains")
+    assert len([b for b in before if before[b] != after[b]]) == 1 and len(before) > 4
+    whole = history.build_versions(first.unionByName(late), store.keys)
+    assert rows(again.versions().select(*whole.columns)) == rows(whole)
+    # a second writer over the same generation fails and changes nothing
+    from talklake.operators.store import Conflict
+
+    try:
+        store.apply(late)
+        raise AssertionError("no conflict")
+    except Conflict:
+        pass
+    assert again.sweep() >= 2
+    assert rows(history.HistoryStore(spark, store.path, store.keys).versions().select(*whole.columns)) == rows(whole)
+
+
+def test_history_in_many_batches_equals_one(spark, monkeypatch):
+    rnd = random.Random(9)
+    monkeypatch.setattr(history.HistoryStore, "BUCKET_ROWS", 20)
+    many = [("1", f"u{rnd.randrange(12)}", rnd.choice("xy"), rnd.choice(["n", None, ""]), rnd.choice(["[1]", "[]", None]), f"2025-01-01T00:00:{rnd.randrange(60):02d}Z", rnd.choice([None, None, None, "d"])) for _ in range(200)]
+    # rows of one member and instant are copies
+    many = list({(m[1], m[5]): m for m in many}.values())
+    store = history.HistoryStore(spark, work_path(spark, "t"), ["guild_id", "user_id"], 2)
+    for lo in range(0, len(many), 16):
+        store.apply(obs(spark, *many[lo : lo + 16]))
+    whole = history.build_versions(obs(spark, *many), store.keys)
+    text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert store.buckets > 2 and text(store.versions().select(*whole.columns)) == text(whole)
+    assert max(len(p) for p in store.files("raw").values()) <= history.HistoryStore.COMPACT + 1
+
+
+def test_change_store_replaces_touched_buckets_only(spark, monkeypatch):
+    monkeypatch.setattr(ChangeStore, "BUCKET_ROWS", 30)
+    feed = lambda rs: read_changes(spark.createDataFrame(rs, LOG))
+    store = ChangeStore(spark, work_path(spark, "t"), 4)
+    store.apply(feed([(i, "t", "i", f"[{i}]", 5) for i in range(200)]))
+    before = files(store, "state")
+    store.apply(feed([(900, "t", "d", "[7]", 9)]))
+    after = files(store, "state")
+    assert len(before) > 4 and len([b for b in before if before[b] != after[b]]) == 1
+    for lo in range(200, 700, 100):
+        store.apply(feed([(i, "t", "i", f"[{i}]", 5) for i in range(lo, lo + 100)]))
+    want = sorted(("t", f'["{i}"]', 5) for i in range(700) if i != 7)
+    assert rows(ChangeStore(spark, store.path).rows()) == want and store.buckets >= 16
+
+    class Killed(ChangeStore):
+        def publish(self):
+            raise OSError("killed")
+
+    for _ in range(2):
+        try:
+            Killed(spark, store.path).apply(feed([(901, "t", "d", "[8]", 9)]))
+        except OSError:
+            pass
+    assert rows(ChangeStore(spark, store.path).rows()) == want
+    store.apply(feed([(901, "t", "d", "[8]", 9)]))
+    assert rows(ChangeStore(spark, store.path).rows()) == [w for w in want if w[1] != '["8"]']
