@@ -301,7 +301,8 @@ class Tagger:
             used = np.isin(doc, keep)
             pairs, kind = pairs[used], kind[used]
         if len(pairs) and rounds:
-            unary = unary + self.messages(unary, belief, pairs, kind, first[keep], length[keep], rounds)
+            linked = np.unique(np.searchsorted(starts, pairs[:, 0], side="right") - 1)
+            unary = unary + self.messages(unary, belief, pairs, kind, first[linked], length[linked], rounds)
         y_kept = best_paths(unary, first[keep], length[keep], self.field.step)
         for k, path in zip(keep, y_kept):
             y[first[k] : first[k] + length[k]] = path
