@@ -13,7 +13,7 @@ from .chunking import split_texts
 from .neardup import document_pairs, grouped, near_duplicates
 from .packing import pack
 from .pii import items, redact
-from .talks import STATED, talks
+from .talks import ACCEPT, STATED, talks
 
 #: Similarity and different words of p3, as TESTDATA.md states them.
 SIMILAR, LEAST_WORDS = 0.7, 20
@@ -69,7 +69,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_talks(spark: SparkSession, sf: str) -> DataFrame:
     """Talks over stated and inferred links, each turn with its speaker's role."""
-    turns = _turns(spark, sf, 0.45)
+    turns = _turns(spark, sf, ACCEPT)
     bots = table(spark, sf, "members").where("bot = 1").select(F.trim("user_id").alias("author_id")).distinct().withColumn("bot", F.lit(True))
     starter = turns.where("turn = 1").select("start_id", F.col("author_id").alias("starter"))
     t = turns.join(starter, "start_id").join(bots, "author_id", "left")
