@@ -100,7 +100,27 @@ m as (select * from (select trim(id) as id, trim(channel_id) as channel_id, null
   row_number() over (partition by trim(id) order by try_cast(updated_at as timestamptz) desc nulls last) as _rank
   from messages where trim(id) <> '') where _rank = 1)"""
 
+_CONTENT = """c as (select * from (select trim(id) as id, nullif(content, '') as content, row_number() over (partition by trim(id) order by try_cast(updated_at as timestamptz) desc nulls last) as _rank from messages where trim(id) <> '') where _rank = 1),
+w as (select id, regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}]+') as w from c)"""
+
 SQL = {
+    "p3_found": f"""
+with {_CONTENT},
+s as (select id, id::hugeint as k, list_distinct(w) as w, len(list_distinct(w)) as n from w where len(list_distinct(w)) >= {LEAST_WORDS})
+select a.id as id_a, b.id as id_b from s a join s b on a.k < b.k and a.n * 10 >= b.n * 7 and b.n * 10 >= a.n * 7
+where len(list_intersect(a.w, b.w)) * 10 >= (a.n + b.n - len(list_intersect(a.w, b.w))) * 7""",
+    "p3_groups": f"""
+with recursive {_CONTENT},
+g as (select id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) end as g from w),
+e as (select id, id::bigint as k, g, case when len(g) = 0 then id::bigint else min(id::bigint) over (partition by g) end as d from g),
+classes as (select d, any_value(g) as g, count(*) as size from e group by d),
+t as (select d, len(g) as n, unnest(g) as t from classes),
+common as (select a.d as a, b.d as b, a.n as na, b.n as nb, count(*) as c from t a join t b on a.t = b.t and a.d <> b.d group by all),
+pairs as materialized (select a, b from common where c * 10 >= (na + nb - c) * 8),
+reach as (select d, d as root from classes union select p.a, r.root from reach r join pairs p on p.b = r.d where r.root < p.a),
+roots as (select d, min(root) as group_id from reach group by d),
+links as (select a as d, sum(size) as others from pairs join classes on classes.d = pairs.b group by 1)
+select e.id as message_id, e.d as class_id, group_id, (size - 1 + coalesce(others, 0))::bigint as n_links from e join classes using (d) join roots using (d) left join links using (d)""",
     "p6_found": f"""
 with recursive {_PRESENT},
 w as (

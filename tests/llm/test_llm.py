@@ -4,6 +4,7 @@ import os
 import random
 import string
 
+import numpy as np
 import pytest
 
 from talklake.llm import neardup, talks
@@ -98,13 +99,16 @@ def test_overlap_is_filled_without_blanks(bpe):
     assert len(same) > 0.6 * len(chunk(bpe, text, 512, 256, 32))
 
 
-def test_near_duplicates_equal_all_pairs(spark):
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     rnd = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
     base = [rnd.sample(vocab, rnd.randrange(5, 40)) for _ in range(60)]
     texts = [" ".join(b) for b in base] + [" ".join(w if rnd.random() > 0.08 else rnd.choice(vocab) for w in rnd.choice(base)) for _ in range(200)] + ["", None, "one", "one", "ONE!"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
-    for frequent in (3, 500):
+    for frequent, paired, block in ((3, 48, 20_000), (3, 1, 20_000), (0, 12, 2), (500, 48, 20_000)):
+        monkeypatch.setattr(neardup, "PAIRED", paired)
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "HOT_SAMPLE", 2)
         got = {tuple(sorted(r, key=int)) for r in neardup.document_pairs(*neardup.near_duplicates(df, "id", "text", 0.7, 1, 1, frequent)).collect()}
         sets = [frozenset((t or "").lower().replace("!", "").split()) for t in texts]
         want = {(str(i), str(j)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 10 * len(a & b) >= 7 * len(a | b)}
@@ -113,6 +117,32 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert len(g) == len(texts) - 2 and sum(r.n_links for r in g) == 2 * len(want)
 
 
+def test_keys_grow_with_the_length_of_a_text():
+    cells = np.full(neardup.CELLS, 10**6, np.int32)
+    for n in (20, 48, 100, 300, 1000, 3000):
+        tokens = np.arange(n, dtype=np.int64) * 7919 + 13
+        for t in (0.7, 0.8):
+            made = sum(len(neardup._keys_of(np.array([1]), tokens, np.array([n]), cells, t, 500, side)[0]) for side in (True, False))
+            assert made < 10 * n, (n, t, made)
+
+
+def test_large_sets_of_frequent_tokens_lose_no_pair(monkeypatch):
+    rnd = random.Random(12)
+    cells = np.full(neardup.CELLS, 10**6, np.int32)
+    cells[: 1 << 18] = 1
+    for t in (0.7, 0.8, 0.9):
+        for _ in range(150):
+            n = rnd.randrange(2, 400)
+            a = rnd.sample(range(1 << 40), n)
+            keep = rnd.randrange(max(1, int(n * t)), n + 1)
+            b = rnd.sample(a, keep) + [rnd.randrange(1 << 40) for _ in range(rnd.randrange(0, n - keep + 2))]
+            a, b = sorted((set(a), set(b)), key=len)
+            if len(a & b) < t * len(a | b):
+                continue
+            k = [set(neardup._keys_of(np.array([1]), np.array(sorted(x), np.int64), np.array([len(x)]), cells, t, 500, side)[0].tolist()) for x, side in ((a, False), (b, True))]
+            assert k[0] & k[1], (t, len(a), len(b))
+
+
 def test_short_and_wordless_texts_are_grouped(spark):
     texts = ["ok", "OK!", "thank you so much", "Thank you, so much.", "thank you so", "a b c d e f g", "", None, "?!", "\U0001f642"]
     df = spark.createDataFrame([(str(i + 1), t) for i, t in enumerate(texts)], "id string, text string")
