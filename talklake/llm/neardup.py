@@ -2,14 +2,12 @@
 
 Texts become sets of words or word n-grams, equal sets one class. Tokens are put in one global order, rare first. Two
 classes with Jaccard similarity t share their first common token within a prefix of each set. If that token is rare, it
-is the join key. If it is frequent, all their common tokens are, and an n-gram of them is the key instead:
-
-* small sets: their first and second common token, both in the prefix (a pair);
-* others: the frequent tokens are dealt by a hash into more parts than the two sets can have differing tokens, so at
-  least one part is the same in both; each part that isn't empty is a key, an n-gram of some two to four tokens. A set
-  with too few parts for that falls back on single tokens, and meets only its like there.
-
-Keys grow with the length of a text, not with its square. Frequent keys are found on a sample and split in blocks.
+is the join key. If it is frequent, all their common tokens are, and n-grams of two tokens of the prefix are keys instead.
+Say the sets can differ in at most H tokens, and take r with r (STEP + 1) > H. Between the first r + 1 common tokens there
+are r gaps with at most H tokens of both sets in them, so in one gap there are at most STEP: two common tokens that follow
+each other at a distance of at most STEP + 1 in both sets, within a prefix that is r + 1 tokens longer. So all pairs of
+frequent tokens at such distances in that prefix are keys: they grow with the length of a text, not with its square.
+Frequent keys are found on a sample and split in blocks.
 """
 
 from __future__ import annotations
@@ -28,8 +26,8 @@ from ..session import materialise, release
 CELLS = 1 << 20
 #: A token whose cell holds more sets than this is joined on together with the set's next common one.
 FREQUENT = 500
-#: Sets up to the class of this size are joined on pairs of frequent tokens, larger ones on parts of them.
-PAIRED = 48
+#: Tokens that may lie between the two of an n-gram.
+STEP = 2
 #: Indexed sets of a key in one block; keys that are split at most; one of how many sets is counted to find them.
 BLOCK, HOT_KEYS, HOT_SAMPLE = 20_000, 10_000, 64
 
@@ -57,32 +55,6 @@ def _overlap(a: int, b: int, t: float) -> int:
     return math.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-class Levels:
-    """Classes of sizes, two per factor of the threshold; a pair meets at the level of its larger set.
-
-    The smaller set's class is the same or up to two below. differ(level): how many tokens two sets that meet there can
-    have that the other lacks; parts(level): number of parts their frequent tokens are dealt into.
-    """
-
-    def __init__(self, t: float):
-        self.t, self.width = t, math.log(1 / t) / 2 + 1e-6 if t < 1 else 1.0
-
-    def of(self, n: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(np.maximum(n, 1)) / self.width).astype(np.int64)
-
-    def largest(self, level: int) -> int:
-        n = int(math.exp((level + 1) * self.width)) + 1
-        while n > 1 and self.of(np.array([n]))[0] > level:
-            n -= 1
-        return n
-
-    def differ(self, level: int) -> int:
-        return int((1 - self.t) / (1 + self.t) * 2 * self.largest(level) + 1e-9)
-
-    def parts(self, level: int) -> int:
-        return int(1.4 * (self.differ(level) + 1)) + 1
-
-
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -92,7 +64,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _keys_of(ids: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, cells: np.ndarray, threshold: float, frequent: int, probe_side: bool):
-    """(key, row, place, tokens in the key) of sets given end to end; place -1 where the positional filter doesn't apply.
+    """(key, row, place of its last token, tokens in the key) of sets given end to end.
 
     The larger set of a pair probes, the smaller one is indexed with its shorter prefix.
     """
@@ -106,49 +78,18 @@ def _keys_of(ids: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, cells: np.n
     often = count > frequent
     rare = np.flatnonzero(~often & (place < prefix[row]))
     keys, rows, places, grams = [tokens[rare]], [row[rare]], [place[rare]], [np.ones(len(rare), np.int64)]
-
-    def add(k: np.ndarray, r: np.ndarray, p: np.ndarray, g: int) -> None:
-        keys.append(k)
-        rows.append(r)
-        places.append(p)
-        grams.append(np.full(len(k), g, np.int64))
-
     # a set can only be like another by its frequent tokens if it has enough of them
-    n_often = np.bincount(row[often], minlength=len(sizes))
-    able = n_often >= np.ceil(threshold * sizes - 1e-9)
-    levels = Levels(threshold)
-    level = levels.of(sizes)
-    # a pair of small sets: two frequent tokens of the prefix, which is one token longer then
-    first_level = int(levels.of(np.array([PAIRED]))[0])
-    paired = able & (level <= first_level)
-    at = np.flatnonzero(often & (place <= prefix[row]) & paired[row])
-    for step in range(1, int(prefix[paired].max(initial=0)) + 1):
-        first = at[place[at] + step <= np.minimum(prefix, sizes - 1)[row[at]]]
-        if not len(first):
-            break
-        add(tokens[first] * _MIX + tokens[first + step], row[first], place[first + step], 2)
-    # others: parts of the frequent tokens, per level at which the set can meet another
-    for lv in range(max(first_level + 1, int(level.min(initial=0))), int(level.max(initial=-1)) + (1 if probe_side else 3)):
-        mine = able & ((level == lv) if probe_side else (level <= lv) & (level >= lv - 2))
-        if not mine.any():
-            continue
-        t = np.flatnonzero(often & mine[row])
-        salt = np.uint64((lv + 1) * int(_MIX2) & (1 << 64) - 1)
-        parts = levels.parts(lv)
-        cell = row[t] * parts + (_mixed(tokens[t] + salt) % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(cell, kind="stable")
-        starts = np.flatnonzero(np.diff(cell[by], prepend=-1))
-        if not len(starts):
-            continue
-        gram = np.add.reduceat(_mixed(tokens[t][by] ^ salt), starts)
-        owner, part = cell[by][starts] // parts, (cell[by][starts] % parts).astype(np.uint64)
-        add(_mixed(gram + part) ^ salt, owner, np.full(len(owner), -1), 2)
-        # rare tokens are among those that may differ
-        filled = np.bincount(owner, minlength=len(sizes))
-        thin = mine & (filled <= levels.differ(lv) - (sizes - n_often))
-        if thin.any():
-            one = np.flatnonzero(often & thin[row] & (place < prefix[row]))
-            add(_mixed(tokens[one]) + salt, row[one], place[one], 1)
+    able = np.bincount(row[often], minlength=len(sizes)) >= np.ceil(threshold * sizes - 1e-9)
+    # differing tokens of the pair: the partner of a probing set has at most its size, that of an indexed one up to size / threshold
+    differ = np.floor((1 - threshold) / (1 + threshold) * sizes * (2 if probe_side else 1 + 1 / threshold) + 1e-9).astype(np.int64)
+    last = np.minimum(prefix + differ // (STEP + 1) + 1, sizes - 1)
+    at = np.flatnonzero(often & able[row] & (place < last[row]))
+    for step in range(1, STEP + 2):
+        first = at[place[at] + step <= last[row[at]]]
+        keys.append(_mixed(tokens[first]) + tokens[first + step])
+        rows.append(row[first])
+        places.append(place[first + step])
+        grams.append(np.full(len(first), 2, np.int64))
     return np.concatenate(keys).view(np.int64), np.concatenate(rows), np.concatenate(places), np.concatenate(grams)
 
 
@@ -158,7 +99,7 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefix_keys(sent, threshold: float, frequent: int, probe_side: bool):
-    """Keys of each class: (k, d, parity signature, counts of tokens in sixteen parts, size, place * 2 + tokens in the key - 1)."""
+    """Keys of each class: (k, d, parity signature, counts of tokens in eight parts, size, place * 2 + tokens in the key - 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, hot, blocks = sent.value
@@ -173,8 +114,8 @@ def _prefix_keys(sent, threshold: float, frequent: int, probe_side: bool):
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 sig = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), mixed >> np.uint64(58)), starts).view(np.int64)
                 # counts above 255 stay there; a difference of two such counts is never more than the true one
-                counts = np.minimum(np.bincount(row * 16 + (mixed >> np.uint64(40)).astype(np.int64) % 16, minlength=16 * len(sizes)), 255).astype(np.uint64).reshape(-1, 2, 8)
-                packed = (counts << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(2, dtype=np.uint64).view(np.int64)
+                counts = np.minimum(np.bincount(row * 8 + (mixed >> np.uint64(40)).astype(np.int64) % 8, minlength=8 * len(sizes)), 255).astype(np.uint64).reshape(-1, 8)
+                packed = (counts << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64)
                 if len(hot):
                     # a frequent key is cut in blocks of indexed sets; the probing set goes to each of them
                     where = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
@@ -186,8 +127,8 @@ def _prefix_keys(sent, threshold: float, frequent: int, probe_side: bool):
                     else:
                         block = np.mod(ids[r], cut)
                     k = np.where(block > 0, (k.view(np.uint64) + block.astype(np.uint64) * _MIX2).view(np.int64), k)
-                cols = [k, ids[r], sig[r], packed[r, 0], packed[r, 1], sizes[r].astype(np.int32), np.where(p < 0, -1, p * 2 + g - 1).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "d", "sig", "c0", "c1", "n", "m"])
+                cols = [k, ids[r], sig[r], packed[r], sizes[r].astype(np.int32), (p * 2 + g - 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "d", "sig", "c", "n", "m"])
 
     return run
 
@@ -221,13 +162,13 @@ def similar_classes(classes: DataFrame, threshold: float, frequent: int = FREQUE
     cells[counted.column(0).to_numpy()] = np.minimum(counted.column(1).to_numpy(), 2**31 - 1)
     sent = spark.sparkContext.broadcast((cells, *_hot_keys(classes, cells, threshold, frequent)))
     sets = classes.select("d", "tokens")
-    a, b = (sets.mapInArrow(_prefix_keys(sent, threshold, frequent, side), "k long, d long, sig long, c0 long, c1 long, n int, m int").alias(n) for n, side in (("a", True), ("b", False)))
+    a, b = (sets.mapInArrow(_prefix_keys(sent, threshold, frequent, side), "k long, d long, sig long, c long, n int, m int").alias(n) for n, side in (("a", True), ("b", False)))
     need = f"cast(ceil({threshold / (1 + threshold):.17g}D * (a.n + b.n) - 1e-9D) as int)"
-    # the suffix filter's bound: tokens that one set lacks, counted in sixteen parts of the tokens
-    apart = " + ".join(f"abs((shiftrightunsigned(a.{c}, {8 * i}) & 255) - (shiftrightunsigned(b.{c}, {8 * i}) & 255))" for c in ("c0", "c1") for i in range(8))
+    # the suffix filter's bound: tokens that one set lacks, counted in eight parts of the tokens
+    apart = " + ".join(f"abs((shiftrightunsigned(a.c, {8 * i}) & 255) - (shiftrightunsigned(b.c, {8 * i}) & 255))" for i in range(8))
     cond = f"""a.k = b.k and (b.n < a.n or (b.n = a.n and b.d < a.d)) and b.n >= {threshold:.17g}D * a.n - 1e-9D
       and bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * {need}
-      and (a.m < 0 or (a.m & 1) + 1 + least(a.n - shiftright(a.m, 1), b.n - shiftright(b.m, 1)) - 1 >= {need})
+      and (a.m & 1) = (b.m & 1) and least(a.n - shiftright(a.m, 1), b.n - shiftright(b.m, 1)) + (a.m & 1) * least(shiftright(a.m, 1), shiftright(b.m, 1)) >= {need}
       and {apart} <= a.n + b.n - 2 * {need}"""
     pairs = a.join(b, F.expr(cond)).select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct()
     left = classes.select(F.col("d").alias("a"), F.col("tokens").alias("ta"))

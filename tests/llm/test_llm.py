@@ -105,8 +105,7 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     base = [rnd.sample(vocab, rnd.randrange(5, 40)) for _ in range(60)]
     texts = [" ".join(b) for b in base] + [" ".join(w if rnd.random() > 0.08 else rnd.choice(vocab) for w in rnd.choice(base)) for _ in range(200)] + ["", None, "one", "one", "ONE!"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
-    for frequent, paired, block in ((3, 48, 20_000), (3, 1, 20_000), (0, 12, 2), (500, 48, 20_000)):
-        monkeypatch.setattr(neardup, "PAIRED", paired)
+    for frequent, block in ((3, 20_000), (0, 2), (500, 20_000)):
         monkeypatch.setattr(neardup, "BLOCK", block)
         monkeypatch.setattr(neardup, "HOT_SAMPLE", 2)
         got = {tuple(sorted(r, key=int)) for r in neardup.document_pairs(*neardup.near_duplicates(df, "id", "text", 0.7, 1, 1, frequent)).collect()}
