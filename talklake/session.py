@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -119,6 +120,12 @@ def release(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def free_shuffles(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more; it finds them by the driver's collections."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def written_bytes(df: DataFrame) -> int | None:
     """Size of the files that materialise() wrote for df."""
     path = getattr(df, "_talklake_path", None)
