@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, release
+from ..session import free_shuffles, materialise, release
 
 #: Tokens are counted in this many cells; the cells, not the vocabulary, are sent to the tasks (4 MB at any size).
 CELLS = 1 << 20
@@ -28,6 +28,8 @@ CELLS = 1 << 20
 FREQUENT = 500
 #: Tokens that may lie between the two of an n-gram.
 STEP = 2
+#: Sets up to this size are told apart by parities of 128 parts, larger ones by those of 64 and counts in eight.
+PARITY = 100
 #: Indexed sets of a key in one block; keys that are split at most; one of how many sets is counted to find them.
 BLOCK, HOT_KEYS, HOT_SAMPLE = 20_000, 10_000, 64
 
@@ -99,7 +101,7 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefix_keys(sent, threshold: float, frequent: int, probe_side: bool):
-    """Keys of each class: (k, d, parity signature, counts of tokens in eight parts, size, place * 2 + tokens in the key - 1)."""
+    """Keys of each class: (k, d, parities, more parities or counts, size, place * 2 + tokens in the key - 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, hot, blocks = sent.value
@@ -112,10 +114,13 @@ def _prefix_keys(sent, threshold: float, frequent: int, probe_side: bool):
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 mixed = _mixed(tokens.view(np.uint64))
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                sig = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), mixed >> np.uint64(58)), starts).view(np.int64)
+                # which of 128 parts have an odd number of tokens
+                bit = (mixed >> np.uint64(33)) & np.uint64(127)
+                sig, high = (np.bitwise_xor.reduceat(np.where(bit // 64 == h, np.left_shift(np.uint64(1), bit % np.uint64(64)), np.uint64(0)), starts).view(np.int64) for h in (0, 1))
                 # counts above 255 stay there; a difference of two such counts is never more than the true one
                 counts = np.minimum(np.bincount(row * 8 + (mixed >> np.uint64(40)).astype(np.int64) % 8, minlength=8 * len(sizes)), 255).astype(np.uint64).reshape(-1, 8)
-                packed = (counts << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64)
+                # large sets have the counts in place of the second half of the parities, which they would drown
+                packed = np.where(sizes <= PARITY, high, (counts << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64))
                 if len(hot):
                     # a frequent key is cut in blocks of indexed sets; the probing set goes to each of them
                     where = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
@@ -164,12 +169,12 @@ def similar_classes(classes: DataFrame, threshold: float, frequent: int = FREQUE
     sets = classes.select("d", "tokens")
     a, b = (sets.mapInArrow(_prefix_keys(sent, threshold, frequent, side), "k long, d long, sig long, c long, n int, m int").alias(n) for n, side in (("a", True), ("b", False)))
     need = f"cast(ceil({threshold / (1 + threshold):.17g}D * (a.n + b.n) - 1e-9D) as int)"
-    # the suffix filter's bound: tokens that one set lacks, counted in eight parts of the tokens
+    # the suffix filter's bound on the tokens that one set lacks, in parts of all tokens: by parities, or by counts of large sets
     apart = " + ".join(f"abs((shiftrightunsigned(a.c, {8 * i}) & 255) - (shiftrightunsigned(b.c, {8 * i}) & 255))" for i in range(8))
     cond = f"""a.k = b.k and (b.n < a.n or (b.n = a.n and b.d < a.d)) and b.n >= {threshold:.17g}D * a.n - 1e-9D
-      and bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * {need}
+      and bit_count(a.sig ^ b.sig) + if(a.n <= {PARITY}, bit_count(a.c ^ b.c), 0) <= a.n + b.n - 2 * {need}
       and (a.m & 1) = (b.m & 1) and least(a.n - shiftright(a.m, 1), b.n - shiftright(b.m, 1)) + (a.m & 1) * least(shiftright(a.m, 1), shiftright(b.m, 1)) >= {need}
-      and {apart} <= a.n + b.n - 2 * {need}"""
+      and (b.n <= {PARITY} or {apart} <= a.n + b.n - 2 * {need})"""
     pairs = a.join(b, F.expr(cond)).select(F.col("a.d").alias("a"), F.col("b.d").alias("b")).distinct()
     left = classes.select(F.col("d").alias("a"), F.col("tokens").alias("ta"))
     right = classes.select(F.col("d").alias("b"), F.col("tokens").alias("tb"))
@@ -189,11 +194,17 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     number = F.coalesce(F.col("key").try_cast("long"), F.xxhash64("key"))
     sets = materialise(sets.select("key", number.alias("d"), "tokens", F.xxhash64("tokens").alias("h1"), F.hash("tokens", F.size("tokens")).alias("h2")), "sets")
     bare = sets.where("size(tokens) = 0").select("key", "d")
-    sets = sets.where("size(tokens) > 0")
-    classes = materialise(sets.groupBy("h1", "h2").agg(F.min("d").alias("d"), F.first("tokens").alias("tokens")), "classes")
-    members = sets.select("key", "h1", "h2").join(classes.select("h1", "h2", "d"), ["h1", "h2"]).select("key", "d")
+    full = sets.where("size(tokens) > 0")
+    classes = materialise(full.groupBy("h1", "h2").agg(F.min("d").alias("d"), F.first("tokens").alias("tokens")), "classes")
+    members = materialise(full.select("key", "h1", "h2").join(classes.select("h1", "h2", "d"), ["h1", "h2"]).select("key", "d"), "members")
+    if whole:
+        members = members.unionByName(bare)
+    else:
+        # the tokens are in the classes now
+        release(sets)
+        free_shuffles(members)
     pairs = materialise(similar_classes(classes, threshold, frequent), "pairs")
-    return members.unionByName(bare) if whole else members, pairs
+    return members, pairs
 
 
 def components(pairs: DataFrame) -> DataFrame:
