@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.trees import up_the_tree
 from ..sources.archive import Archive, with_sql
 from ..sources.tables import table
 
 
 def scope_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Scope of each channel: excluded if it or an ancestor is, unknown if an ancestor is missing or the path is a circle."""
-    a = Archive(spark, sf)
-    a.channels.select("id", "parent_id", "collection_scope").createOrReplaceTempView("scope_tree")
-    return spark.sql(
-        """with recursive up(root, parent_id, barred, looped, path) as (
-          select id, parent_id, coalesce(collection_scope = 'excluded', false), false, array(id) from scope_tree
-          union all select u.root, c.parent_id, coalesce(c.collection_scope = 'excluded', false), array_contains(u.path, c.id), array_append(u.path, c.id) from up u join scope_tree c on c.id = u.parent_id where not u.looped),
-        ends as (select u.*, u.parent_id is not null and t.id is null as lost from up u left join scope_tree t on t.id = u.parent_id)
-        select root as channel_id, case when bool_or(barred) then 'excluded' when bool_or(looped or lost) then 'unknown' else 'allowed' end as scope from ends group by root"""
-    )
+    c = Archive(spark, sf).channels.select("id", "parent_id", (F.col("collection_scope") == "excluded").alias("barred"))
+    t = up_the_tree(c, "parent_id", ["barred"])
+    scope = F.when(F.col("barred"), "excluded").when(F.col("lost") | F.col("looped"), "unknown").otherwise("allowed")
+    return t.select(F.col("id").alias("channel_id"), scope.alias("scope"))
 
 
 def publish_members(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.trees import up_the_tree
 from ..sources.archive import Archive, with_sql
 from ..sources.tables import table
 
 #: End of the reporting window of digest, trends and quiet in the named queries, and its length in days.
 UNTIL, DAYS, TOP = "2025-12-01 00:00:00", 28, 3
-_SINCE = f"timestamp '{UNTIL}' - interval {DAYS} days"
+#: The same end for mentions, whose table is of other years.
+MENTIONS_UNTIL = "1995-06-01 00:00:00"
 _D_SINCE = f"timestamp '{UNTIL}' - interval '{DAYS} days'"
 TEXT_KINDS = ("text", "announcement", "news")
 TREND_KINDS = (*TEXT_KINDS, "thread_public", "thread_private", "thread_announcement", "thread_news")
@@ -21,10 +23,21 @@ def _rows() -> Column:
     return F.count(F.lit(1))
 
 
-def in_window(ts: str = "ts") -> Column:
-    """Half-open window at millisecond resolution, as the reports compare instants."""
-    t = F.date_trunc("MILLISECOND", F.col(ts))
-    return (t >= F.expr(_SINCE)) & (t < F.expr(f"timestamp '{UNTIL}'"))
+def in_window(df: DataFrame, until: str = UNTIL, days: int = DAYS, at: str = "ts") -> DataFrame:
+    """Rows of a half-open window whose ends are whole milliseconds, as the reports compare instants.
+
+    The table is partitioned by month and clustered by instant: both conditions reach the scan.
+    """
+    end = F.lit(until).cast("timestamp")
+    since = end - F.make_dt_interval(F.lit(days))
+    t = F.col(at)
+    return df.where((F.col("month") >= F.date_format(since, "yyyy-MM")) & (F.col("month") <= F.date_format(end, "yyyy-MM")) & (t >= since) & (t < end))
+
+
+def of(df: DataFrame, guild: str | None = None, channel: str | None = None) -> DataFrame:
+    """Rows of one guild and one channel, where they are given."""
+    df = df if guild is None else df.where(F.col("guild_id") == guild)
+    return df if channel is None else df.where(F.col("channel_id") == channel)
 
 
 _D_WINDOW = f"date_trunc('milliseconds', ts) >= {_D_SINCE} and date_trunc('milliseconds', ts) < timestamp '{UNTIL}'"
@@ -35,32 +48,36 @@ def author_name(p: str = "") -> Column:
     return F.coalesce(*[F.col(p + c) for c in ("display_name", "nick", "global_name", "username")])
 
 
-def digest_channels(spark: SparkSession, sf: str) -> DataFrame:
+def digest_channels(spark: SparkSession, sf: str, until: str = UNTIL, days: int = DAYS, guild: str | None = None, channel: str | None = None) -> DataFrame:
     """Messages, replies and active authors per catalogued channel; channels without messages are left out."""
     a = Archive(spark, sf)
-    m = a.messages.where(in_window()).groupBy("guild_id", "channel_id").agg(_rows().alias("messages"), F.count("reply_id").alias("replies"), F.countDistinct("author_id").alias("active_authors"))
-    c = a.channels.select("guild_id", F.col("id").alias("channel_id"), F.col("name").alias("channel_name"), "kind")
+    m = of(in_window(a.messages, until, days), guild, channel).groupBy("guild_id", "channel_id").agg(_rows().alias("messages"), F.count("reply_id").alias("replies"), F.countDistinct("author_id").alias("active_authors"))
+    c = a.channels.select("guild_id", F.col("id").alias("channel_id"), F.coalesce(F.nullif("name", F.lit("")), "id").alias("channel_name"), F.coalesce("kind", F.lit("")).alias("kind"))
     return m.join(c, ["guild_id", "channel_id"]).select("guild_id", "channel_id", "channel_name", "kind", "messages", "replies", "active_authors")
 
 
-def digest_top_posters(spark: SparkSession, sf: str) -> DataFrame:
-    """The TOP posters of every channel in one pass; equal counts go by name, then id."""
+def digest_top_posters(spark: SparkSession, sf: str, until: str = UNTIL, days: int = DAYS, top: int = TOP, guild: str | None = None, channel: str | None = None) -> DataFrame:
+    """The top posters of every channel in one pass; equal counts go by name, then id."""
     a = Archive(spark, sf)
-    m = a.messages.where(in_window() & F.col("author_id").isNotNull()).groupBy("guild_id", "channel_id", "author_id").agg(_rows().alias("messages"))
+    m = of(in_window(a.messages, until, days), guild, channel).where("author_id is not null").groupBy("guild_id", "channel_id", "author_id").agg(_rows().alias("messages"))
     p = a.members.select("guild_id", F.col("user_id").alias("author_id"), author_name().alias("name"))
     m = m.join(p, ["guild_id", "author_id"], "left").withColumn("name", F.coalesce("name", "author_id"))
     w = Window.partitionBy("guild_id", "channel_id").orderBy(F.desc("messages"), "name", "author_id")
-    return m.withColumn("place", F.row_number().over(w)).where(F.col("place") <= TOP).select("guild_id", "channel_id", "place", "author_id", "name", "messages")
+    return m.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("guild_id", "channel_id", "place", "author_id", "name", "messages")
 
 
-def digest_top_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    m = Archive(spark, sf).mentions.groupBy("channel_id", "target_type", "target_name").agg(_rows().alias("mentions"))
+def digest_top_mentions(spark: SparkSession, sf: str, until: str = MENTIONS_UNTIL, days: int = DAYS, top: int = TOP, channel: str | None = None) -> DataFrame:
+    """The top mentioned names of every channel by the instant of the mention; equal counts go by type, then name."""
+    end = F.lit(until).cast("timestamp")
+    m = of(Archive(spark, sf).mentions, channel=channel).where((F.col("event_us") >= F.unix_micros(end - F.make_dt_interval(F.lit(days)))) & (F.col("event_us") < F.unix_micros(end)))
+    m = m.groupBy("channel_id", "target_type", "target_name").agg(_rows().alias("mentions"))
     w = Window.partitionBy("channel_id").orderBy(F.desc("mentions"), "target_type", "target_name")
-    return m.withColumn("place", F.row_number().over(w)).where(F.col("place") <= TOP)
+    return m.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
-def digest_totals(spark: SparkSession, sf: str) -> DataFrame:
-    m = Archive(spark, sf).messages.where(in_window())
+def digest_totals(spark: SparkSession, sf: str, until: str = UNTIL, days: int = DAYS, guild: str | None = None, channel: str | None = None) -> DataFrame:
+    """Totals of the window; messages of channels outside the catalogue count."""
+    m = of(in_window(Archive(spark, sf).messages, until, days), guild, channel)
     return m.agg(_rows().alias("messages"), F.count("reply_id").alias("replies"), F.countDistinct("author_id").alias("authors"), F.countDistinct("guild_id", "channel_id").alias("channels"))
 
 
@@ -80,45 +97,59 @@ def report_windows(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumn("days", days).groupBy("days").agg(_rows().alias("messages"), F.countDistinct("author_id").alias("authors"), F.countDistinct("channel_id").alias("channels"))
 
 
-def top_channels(spark: SparkSession, sf: str) -> DataFrame:
+def recent(df: DataFrame, days: int) -> DataFrame:
+    """Messages of the last days, counted back from the latest one."""
+    last = df.agg(F.max("ts")).first()[0]
+    since = F.lit(last) - F.make_dt_interval(F.lit(days))
+    return df.where((F.col("month") >= F.date_format(since, "yyyy-MM")) & (F.col("ts") >= since))
+
+
+def top_channels(spark: SparkSession, sf: str, days: int = 7, limit: int = 8) -> DataFrame:
+    """The busiest channels of the last days; a channel without a name goes by its id."""
     a = Archive(spark, sf)
-    m = a.messages.groupBy("channel_id").agg(_rows().alias("messages"))
+    m = recent(a.messages, days).groupBy("channel_id").agg(_rows().alias("messages"))
     c = a.channels.select(F.col("id").alias("channel_id"), "name")
     m = m.join(c, "channel_id", "left").withColumn("name", F.coalesce(F.nullif("name", F.lit("")), "channel_id"))
-    return m.orderBy(F.desc("messages"), "name", "channel_id").limit(8)
+    return m.orderBy(F.desc("messages"), "name", "channel_id").limit(limit)
 
 
-def top_authors(spark: SparkSession, sf: str) -> DataFrame:
+def top_authors(spark: SparkSession, sf: str, days: int = 7, limit: int = 8) -> DataFrame:
+    """Who wrote most in the last days."""
     a = Archive(spark, sf)
-    m = a.messages.groupBy("guild_id", "author_id").agg(_rows().alias("n"))
+    m = recent(a.messages, days).groupBy("guild_id", "author_id").agg(_rows().alias("n"))
     p = a.members.select("guild_id", F.col("user_id").alias("author_id"), author_name().alias("name"))
     m = m.join(p, ["guild_id", "author_id"], "left").withColumn("name", F.coalesce("name", "author_id", F.lit("unknown")))
-    return m.groupBy("author_id", "name").agg(F.sum("n").alias("messages")).orderBy(F.desc("messages"), "name", F.asc_nulls_first("author_id")).limit(8)
+    return m.groupBy("author_id", "name").agg(F.sum("n").alias("messages")).orderBy(F.desc("messages"), "name", F.asc_nulls_first("author_id")).limit(limit)
 
 
-def busiest_days(spark: SparkSession, sf: str) -> DataFrame:
-    m = Archive(spark, sf).messages.where("ts is not null").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(_rows().alias("messages"))
-    return m.orderBy(F.desc("messages"), F.desc("day")).limit(7)
+def busiest_days(spark: SparkSession, sf: str, days: int = 30, limit: int = 7) -> DataFrame:
+    m = recent(Archive(spark, sf).messages, days).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(_rows().alias("messages"))
+    return m.orderBy(F.desc("messages"), F.desc("day")).limit(limit)
 
 
-def trends_weekly(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages per channel and Monday week, eight weeks, zero where none was written."""
+def trends_weekly(spark: SparkSession, sf: str, until: str = UNTIL, weeks: int = 8, guild: str | None = None, channel: str | None = None) -> DataFrame:
+    """Messages per channel and Monday week, as many weeks, zero where none was written."""
     a = Archive(spark, sf)
-    weeks = F.explode(F.expr(f"sequence(date_trunc('WEEK', timestamp '{UNTIL}') - interval 49 days, date_trunc('WEEK', timestamp '{UNTIL}'), interval 7 days)"))
-    grid = a.channels.where(F.col("kind").isin(*TREND_KINDS)).select("guild_id", F.col("id").alias("channel_id"), weeks.alias("week"))
-    n = a.messages.where("ts is not null").groupBy("guild_id", "channel_id", F.date_trunc("WEEK", "ts").alias("week")).agg(_rows().alias("n"))
+    this_week = F.date_trunc("WEEK", F.lit(until).cast("timestamp"))
+    first_week = this_week - F.make_dt_interval(F.lit(7 * (weeks - 1)))
+    weeks_ = F.explode(F.sequence(first_week, this_week, F.expr("interval 7 days")))
+    grid = a.channels.where(F.col("kind").isin(*TREND_KINDS)).select("guild_id", F.col("id").alias("channel_id"), weeks_.alias("week"))
+    grid = of(grid, guild, channel)
+    written = a.messages.where((F.col("month") >= F.date_format(first_week, "yyyy-MM")) & (F.col("ts") >= first_week) & (F.col("ts") < this_week + F.expr("interval 7 days")))
+    n = of(written, guild, channel).groupBy("guild_id", "channel_id", F.date_trunc("WEEK", "ts").alias("week")).agg(_rows().alias("n"))
     g = grid.join(n, ["guild_id", "channel_id", "week"], "left")
     return g.select("guild_id", "channel_id", F.date_format("week", "yyyy-MM-dd").alias("week"), F.coalesce("n", F.lit(0)).alias("messages"))
 
 
-def quiet_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """Text channels silent for 30 days; -1 for those never written to."""
+def quiet_channels(spark: SparkSession, sf: str, until: str = UNTIL, silent: int = 30, guild: str | None = None) -> DataFrame:
+    """Text channels silent for so many days; -1 for those never written to."""
     a = Archive(spark, sf)
     last = a.messages.where("ts is not null").groupBy("guild_id", "channel_id").agg(F.max("ts").alias("last"))
     c = a.channels.where(F.col("kind").isin(*TEXT_KINDS)).select("guild_id", F.col("id").alias("channel_id"), "name")
-    days = F.floor((F.expr(f"unix_micros(timestamp '{UNTIL}')") - F.unix_micros("last")) / F.lit(86_400_000_000))
+    c = of(c, guild)
+    days = F.floor((F.unix_micros(F.lit(until).cast("timestamp")) - F.unix_micros("last")) / F.lit(86_400_000_000))
     q = c.join(last, ["guild_id", "channel_id"], "left").withColumn("days_silent", F.coalesce(days, F.lit(-1)).cast("long"))
-    return q.where("last is null or days_silent >= 30").select("guild_id", "channel_id", "name", "days_silent")
+    return q.where(F.col("last").isNull() | (F.col("days_silent") >= silent)).select("guild_id", "channel_id", "name", "days_silent")
 
 
 def _coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,16 +267,9 @@ def scope_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def channel_tombstone_ancestry(spark: SparkSession, sf: str) -> DataFrame:
-    """Channels with a deleted channel among themselves and their ancestors; circles end by the path."""
-    a = Archive(spark, sf)
-    view = "channel_tree"
-    a.channels.select("id", "parent_id", F.col("deleted_at").isNotNull().alias("gone")).createOrReplaceTempView(view)
-    return spark.sql(
-        f"""with recursive up(root, parent_id, gone, path) as (
-          select id, parent_id, gone, array(id) from {view}
-          union all select u.root, c.parent_id, c.gone, array_append(u.path, c.id) from up u join {view} c on c.id = u.parent_id where not array_contains(u.path, c.id))
-        select root as channel_id, bool_or(gone) as tombstoned, cast(max(size(path)) as int) as depth from up group by root"""
-    )
+    """Channels with a deleted channel among themselves and their ancestors; circles end."""
+    c = Archive(spark, sf).channels.select("id", "parent_id", F.col("deleted_at").isNotNull().alias("tombstoned"))
+    return up_the_tree(c, "parent_id", ["tombstoned"]).select(F.col("id").alias("channel_id"), "tombstoned")
 
 
 def snowflake_times(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,15 +292,15 @@ _COVERAGE = with_sql("cm", """, n as (select guild_id, channel_id, count(*) as m
 v as (select c.guild_id, c.id as channel_id, kind, coalesce(messages, 0) as messages, coalesce(name in ('', 'channel-' || right(c.id, 6), 'dm-' || right(c.id, 6)), false)::int as synthetic, oldest_us, newest_us from c left join n on n.guild_id = c.guild_id and n.channel_id = c.id where c.deleted_at is null) """)
 
 SQL = {
-    "digest_channels": with_sql("cm", f"select c.guild_id, c.id as channel_id, c.name as channel_name, c.kind, count(*) as messages, count(reply_id) as replies, count(distinct author_id) as active_authors from c join m on m.guild_id = c.guild_id and m.channel_id = c.id where {_D_WINDOW} group by all"),
+    "digest_channels": with_sql("cm", f"select c.guild_id, c.id as channel_id, coalesce(nullif(c.name, ''), c.id) as channel_name, coalesce(c.kind, '') as kind, count(*) as messages, count(reply_id) as replies, count(distinct author_id) as active_authors from c join m on m.guild_id = c.guild_id and m.channel_id = c.id where {_D_WINDOW} group by all"),
     "digest_top_posters": with_sql("pm", f", x as (select guild_id, channel_id, author_id, count(*) as messages from m where author_id is not null and {_D_WINDOW} group by all), y as (select x.*, coalesce({_NAME}, author_id) as name from x left join p on p.guild_id = x.guild_id and p.user_id = x.author_id) select guild_id, channel_id, row_number() over (partition by guild_id, channel_id order by messages desc, name, author_id)::int as place, author_id, name, messages from y qualify place <= {TOP}"),
-    "digest_top_mentions": with_sql("e", f", x as (select channel_id, target_type, target_name, count(*) as mentions from e group by all) select *, row_number() over (partition by channel_id order by mentions desc, target_type, target_name)::int as place from x qualify place <= {TOP}"),
+    "digest_top_mentions": with_sql("e", f", x as (select channel_id, target_type, target_name, count(*) as mentions from e where event_us >= epoch_us(timestamp '{MENTIONS_UNTIL}' - interval '{DAYS} days') and event_us < epoch_us(timestamp '{MENTIONS_UNTIL}') group by all) select *, row_number() over (partition by channel_id order by mentions desc, target_type, target_name)::int as place from x qualify place <= {TOP}"),
     "digest_totals": with_sql("m", f"select count(*) as messages, count(reply_id) as replies, count(distinct author_id) as authors, count(distinct (guild_id, channel_id)) as channels from m where {_D_WINDOW}"),
     "report_totals": with_sql("cpm", "select (select count(*) from m) as messages, (select count(*) from c) as channels, (select count(*) from p) as members, (select epoch_us(max(ts)) from m) as latest_us"),
     "report_windows": with_sql("m", "select days::int as days, count(*) as messages, count(distinct author_id) as authors, count(distinct channel_id) as channels from m, (select unnest([1, 7, 30]) as days) where ts >= (select max(ts) from m) - to_days(days::int) group by 1"),
-    "top_channels": with_sql("cm", "select channel_id, coalesce(nullif(c.name, ''), channel_id) as name, count(*) as messages from m left join c on c.id = m.channel_id group by 1, 2 order by messages desc, name, channel_id limit 8"),
-    "top_authors": with_sql("pm", f"select author_id, coalesce({_NAME}, author_id, 'unknown') as name, count(*) as messages from m left join p on p.guild_id = m.guild_id and p.user_id = m.author_id group by 1, 2 order by messages desc, name, author_id nulls first limit 8"),
-    "busiest_days": with_sql("m", "select strftime(ts, '%Y-%m-%d') as day, count(*) as messages from m where ts is not null group by 1 order by 2 desc, 1 desc limit 7"),
+    "top_channels": with_sql("cm", "select channel_id, coalesce(nullif(c.name, ''), channel_id) as name, count(*) as messages from m left join c on c.id = m.channel_id where ts >= (select max(ts) from m) - to_days(7) group by 1, 2 order by messages desc, name, channel_id limit 8"),
+    "top_authors": with_sql("pm", f"select author_id, coalesce({_NAME}, author_id, 'unknown') as name, count(*) as messages from m left join p on p.guild_id = m.guild_id and p.user_id = m.author_id where ts >= (select max(ts) from m) - to_days(7) group by 1, 2 order by messages desc, name, author_id nulls first limit 8"),
+    "busiest_days": with_sql("m", "select strftime(ts, '%Y-%m-%d') as day, count(*) as messages from m where ts >= (select max(ts) from m) - to_days(30) group by 1 order by 2 desc, 1 desc limit 7"),
     "trends_weekly": with_sql("cm", f", w as (select unnest(generate_series(date_trunc('week', timestamp '{UNTIL}') - interval 49 days, date_trunc('week', timestamp '{UNTIL}')::timestamp, interval 7 days)) as week), n as (select guild_id, channel_id, date_trunc('week', ts) as week, count(*) as n from m group by all) select c.guild_id, c.id as channel_id, strftime(w.week, '%Y-%m-%d') as week, coalesce(n.n, 0) as messages from c cross join w left join n on n.guild_id = c.guild_id and n.channel_id = c.id and n.week = w.week where kind in {_kinds(TREND_KINDS)}"),
     "quiet_channels": with_sql("cm", f", l as (select guild_id, channel_id, max(ts) as last from m group by all), q as (select c.guild_id, c.id as channel_id, name, last, coalesce(floor((epoch_us(timestamp '{UNTIL}') - epoch_us(last)) / 86400000000.0), -1)::bigint as days_silent from c left join l on l.guild_id = c.guild_id and l.channel_id = c.id where kind in {_kinds(TEXT_KINDS)}) select guild_id, channel_id, name, days_silent from q where last is null or days_silent >= 30"),
     "coverage_channels": _COVERAGE + "select * from v",
@@ -295,7 +319,7 @@ SQL = {
     "conversations": with_sql("m", "select channel_id, count(*) as messages, count(distinct coalesce(author_id, '')) as authors, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us from m where ts is not null group by 1"),
     "status_counts": with_sql("cpm", "select 'guilds' as counter, count(*) as n from guilds where nullif(deleted_at, '') is null union all select 'channels', count(*) from c union all select 'threads', count(*) from c where kind like 'thread%' union all select 'members', count(*) from p where deleted_at is null union all select 'messages', count(*) from m union all select 'deleted_messages', count(*) from m where deleted"),
     "scope_stats": with_sql("cm", "select m.guild_id, count(*) as total, count(*) filter (not m.deleted) as visible, count(*) filter (not m.deleted and trim(coalesce(normalized_content, ''), ' ') <> '') as embeddable, epoch_us(min(ts) filter (not m.deleted)) as oldest_us from m where exists (select 1 from c where c.id = m.channel_id and c.guild_id = m.guild_id) group by 1"),
-    "channel_tombstone_ancestry": with_sql("c", ", up as (select id as root, parent_id, deleted_at is not null as gone, [id] as path from c union all select up.root, c.parent_id, c.deleted_at is not null, list_append(up.path, c.id) from up join c on c.id = up.parent_id where not list_contains(up.path, c.id)) select root as channel_id, bool_or(gone) as tombstoned, max(len(path))::int as depth from up group by 1", True),
+    "channel_tombstone_ancestry": with_sql("c", ", up as (select id as root, parent_id, deleted_at is not null as gone, [id] as path from c union all select up.root, c.parent_id, c.deleted_at is not null, list_append(up.path, c.id) from up join c on c.id = up.parent_id where not list_contains(up.path, c.id)) select root as channel_id, bool_or(gone) as tombstoned from up group by 1", True),
     "snowflake_times": with_sql("m", "select id, (try_cast(id as bigint) >> 22) + 1420070400000 as created_ms from m"),
     "inline_mentions": with_sql("pm", f", x as (select distinct id, guild_id, unnest(regexp_extract_all(content, '<@!?([0-9]+)>', 1)) as user_id from m where content like '%<@%') select x.id, x.user_id, coalesce({_NAME}, '') as name from x left join p on p.guild_id = x.guild_id and p.user_id = x.user_id"),
 }

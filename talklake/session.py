@@ -51,6 +51,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table."""
+    fs, p = _fs(spark, path)
+    files = fs.listStatus(p) if fs.exists(p) else []
+    return ";".join(sorted(f"{s.getPath().getName()},{s.getLen()},{s.getModificationTime()}" for s in files))
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of the files and folders in a folder; none if it is missing."""
     fs, p = _fs(spark, path)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import instant, instant_us, none_if_empty, reference
 from ..operators.current import current_rows
+from .maintained import maintained
 from .tables import table
 
 
 class Archive:
-    """Lazily read current tables of one folder. Nothing is read before a query uses it."""
+    """Current tables of one folder, kept by maintained(); nothing is read or written before a query uses it."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -27,7 +28,7 @@ class Archive:
     def channels(self) -> DataFrame:
         columns = {c: F.col(c) for c in ("kind", "name", "topic", "position", "is_archived", "collection_scope")}
         columns |= {"guild_id": F.trim("guild_id"), "parent_id": reference("parent_id"), "deleted_at": none_if_empty("deleted_at")}
-        return current_rows(table(self.spark, self.folder, "channels"), columns)
+        return maintained(self.spark, self.folder, "channels", lambda: current_rows(table(self.spark, self.folder, "channels"), columns))
 
     @cached_property
     def members(self) -> DataFrame:
@@ -35,8 +36,8 @@ class Archive:
         columns = ("username", "global_name", "display_name", "nick", "bot", "joined_at", "role_ids_json", "deleted_at")
         m = table(self.spark, self.folder, "members").where("trim(guild_id) <> '' and trim(user_id) <> ''")
         kept = F.struct(*[(none_if_empty(c) if c != "bot" else F.col(c)).alias(c) for c in columns])
-        latest = m.groupBy(F.trim("guild_id").alias("guild_id"), F.trim("user_id").alias("user_id")).agg(F.max_by(kept, F.struct(F.coalesce(instant_us("updated_at"), F.lit(-(2**62))), F.xxhash64("raw_json"))).alias("s"))
-        return latest.select("guild_id", "user_id", "s.*")
+        latest = lambda: m.groupBy(F.trim("guild_id").alias("guild_id"), F.trim("user_id").alias("user_id")).agg(F.max_by(kept, F.struct(F.coalesce(instant_us("updated_at"), F.lit(-(2**62))), F.xxhash64("raw_json"))).alias("s"))
+        return maintained(self.spark, self.folder, "members", lambda: latest().select("guild_id", "user_id", "s.*"))
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -52,7 +53,7 @@ class Archive:
             "pinned": F.col("pinned"),
             "has_attachments": F.col("has_attachments"),
         }
-        return current_rows(table(self.spark, self.folder, "messages"), columns)
+        return maintained(self.spark, self.folder, "messages", lambda: current_rows(table(self.spark, self.folder, "messages"), columns), at="ts")
 
     @cached_property
     def attachments(self) -> DataFrame:
