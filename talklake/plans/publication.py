@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.trees import up_the_tree
 from ..sources.archive import Archive, with_sql
 from ..sources.tables import table
+from .listing import resolve_channel
 
 
 def scope_decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,12 +50,9 @@ def embedding_backlog(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(e, "doc_id", "left_anti").groupBy("doc_kind").agg(F.count(F.lit(1)).alias("pending"))
 
 
-def channel_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    """Channels for the name `log`: exact matches in any case if there are any, else those that contain it."""
-    c = Archive(spark, sf).channels.select("guild_id", "id", "name")
-    tier = F.when(F.lower("name") == "log", 1).when(F.col("name").ilike("%log%"), 2)
-    hits = c.withColumn("tier", tier).where("tier is not null")
-    return hits.join(hits.agg(F.min("tier").alias("tier")), "tier").select("guild_id", "id", "name", "tier")
+def channel_resolve(spark: SparkSession, sf: str, needle: str = "log") -> DataFrame:
+    """Channels for a name: exact matches in any case if there are any, else those that contain it."""
+    return resolve_channel(Archive(spark, sf), needle)
 
 
 QUERIES = {f.__name__: f for f in (scope_decisions, publish_members, publish_counts, repair_guild_ids, embedding_backlog, channel_resolve)}

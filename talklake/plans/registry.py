@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data_queries, dataflow, publication, reports, search
+from . import archive_ops, data_queries, dataflow, listing, publication, reports, search
 
-QUERIES = {**publication.QUERIES, **reports.QUERIES, **search.QUERIES, **dataflow.QUERIES, **data_queries.QUERIES}
-SQL = {**publication.SQL, **reports.SQL, **search.SQL, **dataflow.SQL, **data_queries.SQL}
+QUERIES = {**archive_ops.QUERIES, **listing.QUERIES, **publication.QUERIES, **reports.QUERIES, **search.QUERIES, **dataflow.QUERIES, **data_queries.QUERIES}
+SQL = {**archive_ops.SQL, **listing.SQL, **publication.SQL, **reports.SQL, **search.SQL, **dataflow.SQL, **data_queries.SQL}
