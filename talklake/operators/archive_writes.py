@@ -16,7 +16,7 @@ def keep_newer(stored: DataFrame, incoming: DataFrame, observed: str | None = No
     Then an incoming row without content and without deletion doesn't clear a known content as long as the fields in
     `shape` are the same. In all other cases the incoming row wins. Of several incoming rows of an id the latest edit counts.
     """
-    names = stored.columns
+    names = [c for c in stored.columns if c != observed]
     edit = F.coalesce(instant("edited_at"), F.timestamp_micros(F.lit(-(2**60))))
     gone = none_if_empty(F.trim("deleted_at")).isNotNull()
     text = F.coalesce("content", F.lit(""))

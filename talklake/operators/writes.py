@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def merge_newer(stored: DataFrame, incoming: DataFrame, keys: list[str], version: str, tombstone: str) -> DataFrame:
-    """Rows after a merge: the greater version wins; at equal versions a tombstone beats none, else the stored row stays.
+    """Rows after a merge: a stored tombstone stays whatever comes; otherwise the greater version wins; at equal versions a
+    tombstone beats none, else the stored row stays.
 
     A null version is older than any. Rows with a null key are kept as they are on either side.
     """
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(version), F.desc(F.col(tombstone).isNotNull()), "_new")
+    w = Window.partitionBy(*keys).orderBy(F.desc((F.col("_new") == 0) & F.col(tombstone).isNotNull()), F.desc_nulls_last(version), F.desc(F.col(tombstone).isNotNull()), "_new")
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
 
 

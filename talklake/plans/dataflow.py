@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changefeed import read_changes
@@ -40,13 +40,6 @@ def cdc_status(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("table_name").agg(F.countDistinct("seq").alias("entries"), F.min("seq").alias("floor"), F.max("seq").alias("head"))
 
 
-def merge_tables(spark: SparkSession, sf: str) -> DataFrame:
-    o = _orders(spark, sf).withColumn("gone", F.when(F.col("s") == "F", F.lit("x")))
-    stored = o.withColumn("version", F.col("k") % 7)
-    incoming = o.where("k % 3 = 0").withColumn("version", F.col("k") % 5).withColumn("v", F.col("v") + 1)
-    return merge_newer(stored, incoming, ["k"], "version", "gone").select("k", "version", "v")
-
-
 def merge_tables_whole(spark: SparkSession, sf: str) -> DataFrame:
     """A second version of every order merged into the first."""
     o = _orders(spark, sf).withColumn("gone", F.when(F.col("s") == "F", F.lit("x")))
@@ -70,25 +63,7 @@ def delivery_parts(spark: SparkSession, sf: str) -> DataFrame:
     return cut_parts(e, "user_id", "event_id", "bytes", 256).groupBy("user_id", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Tumbling Monday weeks of events by type."""
-    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    w = F.window("ts", "7 days", "7 days", "4 days")
-    return e.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.unix_micros("w.start").alias("week_us"), "event_type", "n", "total")
-
-
-def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return x.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"), F.count(F.lit(1)).alias("n"))
-
-
-def rank_orders(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return o.withColumn("place", F.row_number().over(w)).where("place <= 3").select("o_custkey", "o_orderkey", "place")
-
-
-QUERIES = {f.__name__: f for f in (cdc_capture, cdc_compaction, cdc_changed_keys, cdc_status, merge_tables, merge_tables_whole, metric_series, failure_report, delivery_parts, event_windows, pricing_summary, rank_orders)}
+QUERIES = {f.__name__: f for f in (cdc_capture, cdc_compaction, cdc_changed_keys, cdc_status, merge_tables_whole, metric_series, failure_report, delivery_parts)}
 
 _O = "o as (select o_orderkey as k, o_orderstatus as s, round(o_totalprice, 2) as v from orders)"
 _C = r"""c as (select lower(regexp_replace(table_name, '^\s+|\s+$', '', 'g')) as table_name, from_json(case when json_valid(row_key) and json_type(row_key) = 'ARRAY' then row_key end, '["VARCHAR"]') as k, recorded_at_ms as ms, seq, lower(regexp_replace(op, '^\s+|\s+$', '', 'g')) as op from change_log),
@@ -98,12 +73,8 @@ SQL = {
     "cdc_compaction": f"select distinct seq, recorded_at_ms from change_log where seq >= (select min(seq) from change_log where recorded_at_ms >= {CUTOFF_MS})",
     "cdc_changed_keys": f"with {_C} select table_name, row_key, max(seq) as seq, case when arg_max(live, seq) then 'upsert' else 'delete' end as op from v group by 1, 2",
     "cdc_status": f"with {_C} select table_name, count(distinct seq) as entries, min(seq) as floor, max(seq) as head from v group by 1",
-    "merge_tables": f"with {_O}, x as (select k, k % 7 as version, v, s = 'F' as gone, 0 as new from o union all select k, k % 5, v + 1, s = 'F', 1 from o where k % 3 = 0) select k, version, v from x qualify row_number() over (partition by k order by version desc, gone desc, new) = 1",
-    "merge_tables_whole": f"with {_O}, x as (select k, k % 7 as version, v, s = 'F' as gone, 0 as new from o union all select k, k % 5, v + 1, s = 'F', 1 from o) select k, version, v from x qualify row_number() over (partition by k order by version desc, gone desc, new) = 1",
+    "merge_tables_whole": f"with {_O}, x as (select k, k % 7 as version, v, s = 'F' as gone, 0 as new from o union all select k, k % 5, v + 1, s = 'F', 1 from o) select k, version, v from x qualify row_number() over (partition by k order by gone and new = 0 desc, version desc, gone desc, new) = 1",
     "metric_series": "select user_id, event_id, event_type from events window w as (partition by user_id order by event_id) qualify row_number() over w = 1 or event_type is distinct from lag(event_type) over w",
     "failure_report": "select user_id, event_type, epoch_us(min(ts)) as first_seen, epoch_us(max(ts)) as last_seen, count(*) - 1 as retry_count from events where event_type = 'error' group by 1, 2",
     "delivery_parts": "with x as (select user_id, length(props) as bytes, (sum(length(props)) over (partition by user_id order by event_id rows unbounded preceding)::bigint - 1) // 256 as part from events) select user_id, part, count(*) as n, sum(bytes)::bigint as bytes from x group by 1, 2",
-    "event_windows": "select epoch_us(date_trunc('week', ts)) as week_us, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
-    "pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
-    "rank_orders": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as place from orders qualify place <= 3",
 }

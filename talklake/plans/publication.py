@@ -35,14 +35,6 @@ def publish_counts(spark: SparkSession, sf: str) -> DataFrame:
     return per.join(c, ["guild_id", "channel_id"], "left").groupBy("guild_id").agg(F.sum("n").alias("candidates"), F.coalesce(F.sum(F.when(F.col("open") == 1, F.col("visible"))), F.lit(0)).alias("selected"))
 
 
-def repair_guild_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages whose channel belongs to another guild than they say, or that name none, with the channel's guild."""
-    a = Archive(spark, sf)
-    c = a.channels.select(F.col("id").alias("channel_id"), F.col("guild_id").alias("repaired"))
-    m = a.messages.select("id", "channel_id", "guild_id").join(c, "channel_id")
-    return m.where("repaired <> '' and not guild_id <=> repaired").select("id", "guild_id", "repaired")
-
-
 def embedding_backlog(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with text that have no vector, per source kind."""
     d = table(spark, sf, "documents").where("trim(coalesce(text, '')) <> ''").select("doc_id", "doc_kind")
@@ -55,13 +47,12 @@ def channel_resolve(spark: SparkSession, sf: str, needle: str = "log") -> DataFr
     return resolve_channel(Archive(spark, sf), needle)
 
 
-QUERIES = {f.__name__: f for f in (scope_decisions, publish_members, publish_counts, repair_guild_ids, embedding_backlog, channel_resolve)}
+QUERIES = {f.__name__: f for f in (scope_decisions, publish_members, publish_counts, embedding_backlog, channel_resolve)}
 
 SQL = {
     "scope_decisions": with_sql("c", ", up as (select id as root, parent_id, coalesce(collection_scope = 'excluded', false) as barred, false as looped, [id] as path from c union all select u.root, c.parent_id, coalesce(c.collection_scope = 'excluded', false), list_contains(u.path, c.id), list_append(u.path, c.id) from up u join c on c.id = u.parent_id where not u.looped) select root as channel_id, case when bool_or(barred) then 'excluded' when bool_or(looped or (parent_id is not null and not exists (select 1 from c t where t.id = up.parent_id))) then 'unknown' else 'allowed' end as scope from up group by 1", True),
     "publish_members": with_sql("cpm", "select guild_id, user_id, username from p where deleted_at is null and exists (select 1 from m join c on c.guild_id = m.guild_id and c.id = m.channel_id where not m.deleted and m.guild_id = p.guild_id and m.author_id = p.user_id and c.collection_scope = 'allowed' and c.deleted_at is null)"),
     "publish_counts": with_sql("cm", "select m.guild_id, count(*) as candidates, count(*) filter (not m.deleted and c.id is not null) as selected from m left join c on c.guild_id = m.guild_id and c.id = m.channel_id and c.collection_scope = 'allowed' and c.deleted_at is null group by 1"),
-    "repair_guild_ids": with_sql("cm", "select m.id, m.guild_id, c.guild_id as repaired from m join c on c.id = m.channel_id where c.guild_id <> '' and m.guild_id is distinct from c.guild_id"),
     "embedding_backlog": "select doc_kind, count(*) as pending from documents where trim(coalesce(text, ''), ' ') <> '' and doc_id not in (select vec_id from embeddings) group by 1",
     "channel_resolve": with_sql("c", ", h as (select guild_id, id, name, case when lower(name) = 'log' then 1 when name ilike '%log%' then 2 end as tier from c) select * from h where tier = (select min(tier) from h)"),
 }
