@@ -50,6 +50,8 @@ class Bpe:
             for line in f:
                 token, rank = line.split()
                 self.ranks[base64.b64decode(token)] = int(rank)
+        if max(self.ranks.values(), default=0) >= 1 << 31:
+            raise ValueError("ids must fit in 31 bits")
         self.strings = {i: t for t, i in self.ranks.items()}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         # merges by the ids of two neighbours, filled as they are met
@@ -61,7 +63,7 @@ class Bpe:
 
     def _pair(self, a: int, b: int) -> int:
         """Rank of the merge of ids a and b, -1 if the vocabulary has none."""
-        k = (a << 20) | b
+        k = (a << 32) | b
         r = self.pairs.get(k)
         if r is None:
             r = self.pairs[k] = self.ranks.get(self.strings[a] + self.strings[b], -1)
@@ -82,7 +84,7 @@ class Bpe:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         known, pair, queue = self.pairs.get, self._pair, []
         for i in range(n - 1):
-            if (r := known((ids[i] << 20) | ids[i + 1])) is None:
+            if (r := known((ids[i] << 32) | ids[i + 1])) is None:
                 r = pair(ids[i], ids[i + 1])
             if r >= 0:
                 queue.append((r << 32) | i)
@@ -91,7 +93,7 @@ class Bpe:
         while queue:
             top = pop(queue)
             i, rank = top & 0xFFFFFFFF, top >> 32
-            if ids[i] < 0 or (j := after[i]) >= n or known((ids[i] << 20) | ids[j]) != rank:
+            if ids[i] < 0 or (j := after[i]) >= n or known((ids[i] << 32) | ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
@@ -197,3 +199,15 @@ def measure_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.count(t) for t in b.column(1).to_pylist()], pa.int64())], [key, "n_tokens"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long")
+
+
+def decode_texts(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = DEFAULT) -> DataFrame:
+    """(key, text): each row's ids as text; an empty list is the empty text, a null one null."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else enc.decode(x) for x in b.column(1).to_pylist()], pa.string())], [key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")

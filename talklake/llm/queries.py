@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import instant_us, none_if_empty, reference
 from ..operators.current import current_rows
 from ..sources.tables import table
-from .bpe import encode_texts, measure_texts
+from .bpe import decode_texts, encode_texts, measure_texts
 from .chunking import split_texts
 from .neardup import document_pairs, grouped, near_duplicates
 from .packing import pack
@@ -67,9 +67,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf, STATED).select("start_id", F.col("turn").cast("int").alias("turn"), "message_id")
 
 
-def p6_talks(spark: SparkSession, sf: str) -> DataFrame:
-    """Talks over stated and inferred links, each turn with its speaker's role."""
-    turns = _turns(spark, sf, ACCEPT)
+def _roles(spark: SparkSession, sf: str, accept: float) -> DataFrame:
+    turns = _turns(spark, sf, accept)
     bots = table(spark, sf, "members").where("bot = 1").select(F.trim("user_id").alias("author_id")).distinct().withColumn("bot", F.lit(True))
     starter = turns.where("turn = 1").select("start_id", F.col("author_id").alias("starter"))
     t = turns.join(starter, "start_id").join(bots, "author_id", "left")
@@ -77,6 +76,16 @@ def p6_talks(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("start_id", "turn", "message_id", "author_id", role.alias("role"))
 
 
+def p6_talks(spark: SparkSession, sf: str) -> DataFrame:
+    """Talks over stated and inferred links, each turn with its speaker's role."""
+    return _roles(spark, sf, ACCEPT)
+
+
+def p6_stated(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over stated links alone."""
+    return _roles(spark, sf, STATED)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents"))
 
@@ -91,7 +100,31 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p6_found, p6_talks, p8_ids, p9_containers, p10_pieces)}
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The hash of each text decoded from its ids, which is the text's own."""
+    return decode_texts(p8_ids(spark, sf)).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+def p9_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document: its pieces follow each other without a gap, and none is divided that fits; of all containers, how
+    many are over their capacity, and whether they are as few as the tokens allow within a hundredth."""
+    c = p9_containers(spark, sf)
+    full = c.where("container > 0 or piece_tokens > 0").groupBy("container").agg(F.sum("piece_tokens").alias("n"))
+    over = full.agg(F.count_if(F.col("n") > CAPACITY).alias("over"), (F.count(F.lit(1)) <= F.ceil(F.sum("n") / CAPACITY) * 1.01 + 1).alias("tight"))
+    per = c.groupBy("doc_id").agg(F.max("piece").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("piece_tokens").alias("tokens"))
+    per = per.select("doc_id", ((F.col("n") == F.col("last") + 1) & (F.col("n") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / CAPACITY)))).alias("whole"), F.lit(1).alias("k"))
+    return per.join(F.broadcast(over.withColumn("k", F.lit(1))), "k").drop("k")  # over is one row
+
+
+def p10_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each text: how many code points its pieces cover from the first on, gaps between them, pieces over the limit."""
+    w = Window.partitionBy("doc_id").orderBy("piece")
+    p = p10_pieces(spark, sf).withColumn("before", F.lag("end_char").over(w))
+    gap = F.when(F.col("before").isNull(), F.col("start_char") > 0).otherwise((F.col("start_char") > F.col("before")) | (F.col("end_char") <= F.col("before")))
+    return p.groupBy("doc_id").agg(F.max("end_char").cast("long").alias("chars"), F.count_if(gap).alias("gaps"), F.count_if((F.col("n_tokens") > 512) | (F.length("text") != F.col("end_char") - F.col("start_char"))).alias("over"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p6_found, p6_talks, p6_stated, p8_ids, p8_decoded, p9_containers, p9_filled, p10_pieces, p10_covered)}
 
 _PRESENT = r"""
 m as (select * from (select trim(id) as id, trim(channel_id) as channel_id, nullif(trim(author_id), '') as author_id, epoch_us(try_cast(created_at as timestamptz)) as us,
@@ -100,6 +133,16 @@ m as (select * from (select trim(id) as id, trim(channel_id) as channel_id, null
   row_number() over (partition by trim(id) order by try_cast(updated_at as timestamptz) desc nulls last) as _rank
   from messages where trim(id) <> '') where _rank = 1)"""
 
+_TALKS = f"""
+with recursive {_PRESENT},
+w as (
+  select id, id as root, us, channel_id, author_id, good from m where reply_id is null
+  union all
+  select m.id, w.root, m.us, m.channel_id, m.author_id, m.good and m.us >= w.us from w join m on m.reply_id = w.id),
+k as (select root from w group by root having count(*) > 1 and bool_and(good) and count(distinct channel_id) = 1 and count(distinct author_id) > 1),
+t as (select root as start_id, row_number() over (partition by root order by us, id::hugeint)::int as turn, id as message_id, author_id from w join k using (root))
+"""
+
 _CONTENT = """c as (select * from (select trim(id) as id, nullif(content, '') as content, row_number() over (partition by trim(id) order by try_cast(updated_at as timestamptz) desc nulls last) as _rank from messages where trim(id) <> '') where _rank = 1),
 w as (select id, regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}]+') as w from c)"""
 
@@ -121,12 +164,10 @@ reach as (select d, d as root from classes union select p.a, r.root from reach r
 roots as (select d, min(root) as group_id from reach group by d),
 links as (select a as d, sum(size) as others from pairs join classes on classes.d = pairs.b group by 1)
 select e.id as message_id, e.d as class_id, group_id, (size - 1 + coalesce(others, 0))::bigint as n_links from e join classes using (d) join roots using (d) left join links using (d)""",
-    "p6_found": f"""
-with recursive {_PRESENT},
-w as (
-  select id, id as root, us, channel_id, author_id, good from m where reply_id is null
-  union all
-  select m.id, w.root, m.us, m.channel_id, m.author_id, m.good and m.us >= w.us from w join m on m.reply_id = w.id),
-k as (select root from w group by root having count(*) > 1 and bool_and(good) and count(distinct channel_id) = 1 and count(distinct author_id) > 1)
-select root as start_id, row_number() over (partition by root order by us, id::hugeint)::int as turn, id as message_id from w join k using (root)""",
+    "p6_found": _TALKS + "select start_id, turn, message_id from t",
+    "p6_stated": _TALKS + """, b as (select distinct trim(user_id) as author_id from members where bot = 1)
+select t.start_id, t.turn, t.message_id, t.author_id, case when t.author_id = f.author_id then 'starter' when b.author_id is not null then 'bot' else 'member' end as role from t join t f on f.start_id = t.start_id and f.turn = 1 left join b on b.author_id = t.author_id""",
+    "p8_decoded": "select doc_id, sha256(coalesce(text, '')) as digest from documents",
+    "p9_filled": "select distinct doc_id, true as whole, 0::bigint as over, true as tight from documents",
+    "p10_covered": "select doc_id, length(text)::bigint as chars, 0::bigint as gaps, 0::bigint as over from documents where text <> ''",
 }
