@@ -14,6 +14,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,8 @@ class Bpe:
         # ids are kept as machine integers, four bytes each
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        # number of ids and checksum of words, and what the caller's function says of them
+        self.measures: dict[str, tuple[int, int, int]] = {}
         self.split = split
 
     def _pair(self, a: int, b: int) -> int:
@@ -155,6 +158,17 @@ class Bpe:
         ids = self.words.get(text)
         return len(self.plain(text) if ids is None else ids) // 4
 
+    def measure(self, word: str, grade) -> tuple[int, int, int]:
+        """Number of ids and checksum of a word, and its grade by a fixed function."""
+        m = self.measures.get(word)
+        if m is None:
+            m = self.length(word), crc32(word.encode()), grade(word)
+            if len(word) <= KEEP_CHARS:
+                if len(self.measures) >= KEEP:
+                    self.measures.clear()
+                self.measures[word] = m
+        return m
+
     def count(self, text: str | None) -> int:
         """Number of ids of a whole text."""
         return len(self.packed(text)) // 4

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -18,14 +20,24 @@ WINDOW, BASE, MODULUS = 8, 1_000_003, (1 << 61) - 1
 LANDMARK = 32
 
 
-def _boundary(word: str, following: str) -> int:
-    lines = word.count("\n") + (following.count("\n") if not following.strip() else 0)
+def _boundary(word: str) -> int:
+    """Rank of the boundary after a word, by the word itself."""
+    lines = word.count("\n")
     if lines:
         return 4 if lines > 1 else 3
     last = word.rstrip("\"')]}»”’*_` ")[-1:]
     return (2 if last in _SENTENCE else 1 if last in _CLAUSE else 0) if last else 0
 
 
+def _landmarks(sums: list[int]) -> np.ndarray:
+    """Whether the rolling hash of the last words is a landmark at each word."""
+    x, h, power = np.array(sums, np.uint64), np.zeros(len(sums), np.uint64), 1
+    for j in range(min(WINDOW, len(sums))):
+        h[j:] += x[: len(x) - j] * np.uint64(power)
+        power = power * BASE % (1 << 64)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(LANDMARK - 1) == 0
+
+
 def _parts(bpe: Bpe, word: str, limit: int) -> Iterator[tuple[str, int, bool]]:
     """(part, tokens, landmark) of a word above the limit, cut where a rolling hash over its code points is a landmark.
 
@@ -80,28 +92,34 @@ def chunk(bpe: Bpe, text: str, limit: int, least: int, overlap: int) -> list[tup
     sizes: list[int] = []
     cuts: dict[int, bool] = {}  # parts of over-long words, and whether a landmark ends them
     most = max(1, limit - overlap)
+    sums: list[int] = []
+    grades: list[int] = []
+    known, measure = bpe.measures.get, bpe.measure
     for w in bpe.split(text):
-        n = bpe.length(w)
+        n, crc, grade = known(w) or measure(w, _boundary)
         if n <= most:
             words.append(w)
             sizes.append(n)
+            sums.append(crc)
+            grades.append(grade)
             continue
         for part, n, mark in _parts(bpe, w, most):
             cuts[len(words)] = mark
             words.append(part)
             sizes.append(n)
+            sums.append(crc32(part.encode()))
+            grades.append(_boundary(part))
     total = sum(sizes)
     if total <= limit or (cuts and (total := bpe.count(text)) <= limit):
         return [(0, len(text), total)]
-    marks, grades, h, top = [], [], 0, pow(BASE, WINDOW, MODULUS)
-    sums = [crc32(w.encode()) for w in words]
-    for i, w in enumerate(words):
-        h = (h * BASE + sums[i] - (sums[i - WINDOW] * top if i >= WINDOW else 0)) % MODULUS
-        marks.append(cuts.get(i, h % LANDMARK == 0))
-        grades.append(_boundary(w, words[i + 1] if i + 1 < len(words) else ""))
-    chars = [0]
-    for w in words:
-        chars.append(chars[-1] + len(w))
+    marks = _landmarks(sums).tolist()
+    for i, mark in cuts.items():
+        marks[i] = mark
+    for i in range(len(words) - 1):
+        # line ends in the white space that follows belong to the boundary
+        if words[i + 1].isspace() and (lines := words[i].count("\n") + words[i + 1].count("\n")):
+            grades[i] = 4 if lines > 1 else 3
+    chars = [0, *accumulate(map(len, words))]
     out: list[tuple[int, int, int]] = []
     # fresh: first word not in any piece yet; the piece begins at code point `begin`, with `lead` tokens before word `start`
     # `joined`: the part of a word at the beginning doesn't stay a word of its own beside the next
