@@ -95,6 +95,9 @@ def matching(df: DataFrame, text: str, query: str, language: str) -> DataFrame |
         # what the pairs of a run allow but the run itself doesn't is left out; plain containment prunes before any term is made
         hit = reduce(Column.__and__, [F.contains(F.col(text), F.lit(r)) for r in _DENSE_PY.findall(unicodedata.normalize("NFC", query))])
         return df.where(hit)
+    # a term is a part of the text, so plain containment prunes before any term is made
+    bare = F.regexp_replace(F.lower(F.col(text)), _MARKS, "")
+    df = df.where(reduce(Column.__and__, [reduce(Column.__or__, [F.contains(bare, F.lit(t)) for t in g]) for g in groups]))
     terms = a.terms(F.col(text))
     return df.withColumn("_terms", terms).where(reduce(Column.__and__, [F.arrays_overlap("_terms", F.array(*[F.lit(t) for t in g])) for g in groups])).drop("_terms")
 

@@ -108,6 +108,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     return _merged(parts or [spark.createDataFrame([], "query_id long, id long, score double")], most, False)
 
 
+def nearest_to(vectors: DataFrame, query: list[float], most: int) -> DataFrame:
+    """(id, score): nearest() for one query, which goes along with the code; each task hands on its best rows only."""
+    q = np.asarray(query, np.float64)
+    q = (q / np.sqrt(q @ q)).reshape(1, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(1, most, False)
+        for b in batches:
+            rows, v = _matrix(_flat(b.column(1)), q.shape[1])
+            best.add(q @ v.T, b.column(0).to_numpy(zero_copy_only=False)[rows])
+        yield best.batch(np.zeros(1, np.int64)).select(["id", "score"])
+
+    return vectors.select("id", "vector").where("id is not null").mapInArrow(run, "id long, score double").orderBy(F.desc("score"), F.desc("id")).limit(most)
+
+
 def _score_texts(sent, most: int, rising: bool, k1: float, b: float, average: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vocabulary, place, query, idf = sent.value

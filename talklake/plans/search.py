@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lexical import ANALYSERS, fuse, matching
-from ..operators.topk import best_texts, nearest
+from ..operators.topk import best_texts, nearest, nearest_to
 from ..sources.archive import Archive, with_sql
 from ..sources.tables import table
 from .listing import part_of
@@ -27,10 +27,8 @@ def tokens(c: Column | str) -> Column:
 
 
 def has_phrase(words: Column, phrase: list[str]) -> Column:
-    """Whether the words contain the phrase's words in a row."""
-    p = F.array(*[F.lit(w) for w in phrase])
-    n = len(phrase)
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.slice(words, i, n) == p)
+    """Whether the words contain the phrase's words in a row. The words are made once, not once per place."""
+    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
 
 
 #: Letters with diacritics and their bases, as far as the index's tokenizer folds them.
@@ -57,6 +55,16 @@ def candidate_limit(limit: int) -> int:
     return min(5000, max(200, 20 * limit))
 
 
+_VARIANTS: dict[str, str] = {}
+for _c, _b in _MARKED.items():
+    _VARIANTS[_b] = _VARIANTS.get(_b, "") + _c
+
+
+def spelled(word: str) -> str:
+    """Pattern of a folded word in lower-cased text, with or without diacritics."""
+    return "".join((f"[{c}{_VARIANTS[c]}]" if c in _VARIANTS else re.escape(c)) + r"[\x{300}-\x{36f}]*" for c in word)
+
+
 def units(query: str) -> list[list[str]]:
     """The units of a query, which is split on white space only; a unit of several words is a phrase, quotes are no words."""
     return [w for u in query.split() if (w := re.findall(r"[^\W_]+", fold(u)))]
@@ -66,15 +74,15 @@ def search_units(df: DataFrame, query: str, fields: list[str], limit: int, inclu
     """Rows that hold every unit of the query, newest id first.
 
     A unit, with its words in a row, may be in any of the fields. Candidates are capped before the empty ones are
-    dropped, as in the archive's own search; an empty query has no results. Rows without all the words as plain text are
-    dropped before any text is cut into words.
+    dropped, as in the archive's own search; an empty query has no results. Rows in which a pattern
+    doesn't find all the words are dropped before any text is cut into words.
     """
     wanted = units(query)
     if not wanted:
         return df.limit(0)
     hit = df
     for w in {w for u in wanted for w in u}:
-        hit = hit.where(reduce(Column.__or__, [F.coalesce(F.contains(folded(f), F.lit(w)), F.lit(False)) for f in fields]))
+        hit = hit.where(reduce(Column.__or__, [F.coalesce(F.rlike(F.lower(f), F.lit(spelled(w))), F.lit(False)) for f in fields]))
     hit = hit.select("*", *[plain_tokens(f).alias(f"_{f}") for f in fields])
     for u in wanted:
         hit = hit.where(reduce(Column.__or__, [has_phrase(F.col(f"_{f}"), u) for f in fields]))
@@ -209,8 +217,7 @@ def semantic(vectors: DataFrame, query: list[float], identity: Identity, limit:
         raise ValueError("the query's vector is zero")
     own = vectors.where((F.col("provider") == identity.provider.strip().lower()) & (F.col("model") == identity.model.strip()) & (F.col("input_version") == identity.input_version) & (F.col("dimensions") == identity.dimensions))
     whole = F.when(F.size("vector") == F.col("dimensions"), F.col("vector")).otherwise(F.raise_error(F.concat(F.lit("corrupt vector of "), F.col("id").cast("string"))))
-    asked = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, vector array<float>")
-    return nearest(own.select("id", whole.alias("vector")), asked, limit).select("id", "score")
+    return nearest_to(own.select("id", whole.alias("vector")), query, limit)
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
