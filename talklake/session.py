@@ -29,9 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/talklake/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder. It is deleted when the process ends, or by clean_up()."""
+    path = f"{shared_dir(spark)}/talklake/{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(clean_up)
+    _SCRATCH.append(path)
+    return path
+
+
+def clean_up() -> None:
+    """Delete what this process has written for its queries. Results that are read lazily must have been read."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _SCRATCH:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  # the session may be ending; what is left is only scratch
+            return
+    _SCRATCH.clear()
+    atexit.unregister(clean_up)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import shutil
 import sys
 import time
 
@@ -41,9 +43,13 @@ def duck(folder: str):
 def session(cores: int = 8):
     from pyspark.sql import SparkSession
 
-    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
+    import tempfile
+
+    shared = tempfile.mkdtemp(prefix="talklake-tests-")
+    conf = {"spark.checkpoint.dir": f"file://{shared}", "spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     spark = SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return spark
 
 
