@@ -157,7 +157,8 @@ def best_texts(texts: DataFrame, queries: DataFrame, most: int, rising: bool, k1
     ones go by id, rising or falling. Texts without a word of the query have no score.
     """
     spark, parts = texts.sparkSession, []
-    texts = texts.where("id is not null")
+    # cut into words once, not once per group of queries
+    texts = materialise(texts.where("id is not null").select("id", "words"), "words")
     s = texts.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("avg")).first()
     asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct("words")).alias("word"))
     counts = texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
